@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dyadspark.llm import repair
+from dyadspark.llm import exact_dedup, packing, repair
 from dyadspark.llm.common import small_batches
 
 
@@ -18,5 +18,5 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _bounded(f) for f in (repair.op1_token_shards,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: _bounded(f) for f in (repair.op1_token_shards, exact_dedup.op3_exact_dedup, packing.op4_packing)}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.OP3_SQL}
