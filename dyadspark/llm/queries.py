@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dyadspark.llm import exact_dedup, mixing, packing, repair, simhash
+from dyadspark.llm import exact_dedup, mixing, packing, repair, simhash, warc
 from dyadspark.llm.common import small_batches
 
 
@@ -18,5 +18,5 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _bounded(f) for f in (repair.op1_token_shards, exact_dedup.op3_exact_dedup, packing.op4_packing, simhash.op5_simhash, mixing.op7_mixing)}
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL}
+QUERIES = {f.__name__: _bounded(f) for f in (repair.op1_token_shards, exact_dedup.op3_exact_dedup, packing.op4_packing, simhash.op5_simhash, mixing.op7_mixing, warc.op8_warc)}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
