@@ -37,37 +37,44 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 12, roun
     least: occurrences that a pair needs. max_rules: by default as many as two-byte symbols allow.
     """
     room = max(0, NARROW - base) if max_rules is None else max_rules
-    seq = ids.astype(np.int64)
+    # symbols of two bytes make keys of four, which sort in half the time
+    kind, wide, half = (np.uint16, np.uint32, 16) if base + room <= NARROW else (np.uint32, np.uint64, 32)
+    mix, shift = (wide(0x9E3779B1), wide(12)) if half == 16 else (wide(0x9E3779B97F4A7C15), wide(44))
+    seq = ids.astype(kind)
     last = np.zeros(len(seq), dtype=bool)
     last[ends[ends > 0] - 1] = True
     counts = np.diff(ends, prepend=0)
     rules = np.empty((0, 2), dtype=np.int64)
-    bits = 20
+    slots = np.empty(1 << 20, dtype=np.int32)
     for _ in range(rounds):
         if len(seq) < 2 or not room:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        hashed = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        hashed[last[:-1]] = 1 << bits
-        often = np.bincount(hashed, minlength=(1 << bits) + 1)
-        often[1 << bits] = 0
-        near = np.flatnonzero(often[hashed] >= least)
-        if not len(near):
+        key = (seq[:-1].astype(wide) << wide(half)) | seq[1:]
+        inside = ~last[:-1]
+        order = np.sort(key[inside])
+        if len(order) < least:
             break
-        order = np.sort(key[near])
-        first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        pairs, n = order[first], np.diff(first, append=len(order))
-        # a round takes the frequent ones only: what they leave is counted again in the next
-        floor = max(least, int(n.max()) // 256)
-        kept = n >= floor
-        if not kept.any():
+        # a pair that occurs least times fills a stretch of the sorted keys
+        far = np.flatnonzero(order[least - 1 :] == order[: len(order) - least + 1])
+        pairs = np.unique(order[far])
+        if not len(pairs):
             break
+        n = np.searchsorted(order, pairs, side="right") - np.searchsorted(order, pairs, side="left")
+        # a round takes the frequent ones only: what they leave is counted again in the next
+        kept = n >= max(least, int(n.max()) // 256)
         pairs, n = pairs[kept], n[kept]
         if len(pairs) > room:
-            pairs = np.sort(pairs[np.lexsort((pairs, -n))[:room]])
-        spot = np.minimum(np.searchsorted(pairs, key[near]), len(pairs) - 1)
-        hit = pairs[spot] == key[near]
-        at, rule = near[hit], spot[hit]
+            best = np.sort(np.lexsort((pairs, -n))[:room])
+            pairs, n = pairs[best], n[best]
+        # pairs whose slot a more frequent pair has wait for a later round
+        slots.fill(-1)
+        rank = np.argsort(n, kind="stable")
+        slots[((pairs * mix) >> shift)[rank]] = rank
+        rule = slots[(key * mix) >> shift]
+        at = np.flatnonzero((rule >= 0) & inside)
+        rule = rule[at]
+        hit = pairs[rule] == key[at]
+        at, rule = at[hit], rule[hit]
         # of neighbouring hits every second one is replaced
         run = np.concatenate(([True], np.diff(at) != 1))
         place = np.arange(len(at))
@@ -80,12 +87,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 12, roun
             break
         renamed = np.cumsum(worth) - 1 + base + len(rules)
         seq[at] = renamed[rule]
-        gone = np.zeros(len(seq), dtype=bool)
-        gone[at + 1] = True
+        stays = np.ones(len(seq), dtype=bool)
+        stays[at + 1] = False
         last[at] = last[at + 1]
-        seq, last = seq[~gone], last[~gone]
+        seq, last = seq[stays], last[stays]
         new = pairs[worth]
-        rules = np.concatenate((rules, np.stack((new >> 32, new & 0xFFFFFFFF), axis=1)))
+        rules = np.concatenate((rules, np.stack((new >> wide(half), new & wide((1 << half) - 1)), axis=1).astype(np.int64)))
         room -= len(new)
     symbol_ends = np.zeros(len(counts), dtype=np.int64)
     if len(counts):
