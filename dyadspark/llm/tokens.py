@@ -43,7 +43,7 @@ class WordEncoder(dict):
     are held.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 700_000):
         super().__init__()
         from tokenizers import Tokenizer
 
