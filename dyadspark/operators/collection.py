@@ -165,10 +165,13 @@ class Collection:
         that have several; where none has, a whole metric goes.
         """
         gone: list[str] = []
+        whole = self.gram(samples, seed)
+        place = {(id(self.metrics[k]), j): f for f, (k, j, _) in enumerate(self.features())}
         while True:
-            q = len(self.features())
-            gram = self.gram(samples, seed)
-            values, vectors = np.linalg.eigh(gram)
+            # the Gram matrix of fewer features is part of that of all
+            kept = [place[id(self.metrics[k]), j] for k, j, _ in self.features()]
+            q = len(kept)
+            values, vectors = np.linalg.eigh(whole[np.ix_(kept, kept)])
             large = np.abs(values)[np.abs(values) > nonzero]
             if not len(large):
                 return gone
@@ -176,7 +179,8 @@ class Collection:
             if not len(dependent):
                 return gone
             share = (np.abs(vectors[:, dependent]) > involved).mean(axis=1)
-            wide = [f for f in range(q) if share[f] > 0 and self.feature_of(f)[0].width(self.graph) - len(self.feature_of(f)[0].ignored) > 1]
+            widths = Counter(k for k, _, _ in self.features())
+            wide = [f for f in range(q) if share[f] > 0 and widths[self.features()[f][0]] > 1]
             pick = min(wide or [f for f in range(q) if share[f] > 0], key=lambda f: (-share[f], f))
             gone.append(self.names()[pick])
             self.remove(pick)
