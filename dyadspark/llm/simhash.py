@@ -1,11 +1,11 @@
 """SimHash near-duplicates with BK-trees.
 
-Fingerprints that differ in at most four bits agree on at least one of five blocks of bits, so
-each distinct fingerprint is dealt to one bucket for each block. A task builds a BK-tree for each of
-its buckets (a child hangs on the edge numbered by its Hamming distance to the parent) and looks
-every fingerprint of the bucket up in it, following only edges within the radius. Trees of all
-buckets grow and are searched level by level in one pass over arrays. A bucket gives back a
-spanning forest, not its pairs, so that dense groups stay small.
+Fingerprints that differ in at most four bits agree on all but four of five or more blocks of bits,
+so each distinct fingerprint is dealt to one bucket for each choice of such blocks. A task builds a
+BK-tree for each of its buckets (a child hangs on the edge numbered by its Hamming distance to the
+parent) and looks every fingerprint of the bucket up in it, following only edges within the radius.
+Trees of all buckets grow and are searched level by level in one pass over arrays. A bucket gives
+back a spanning forest, not its pairs, so that dense groups stay small.
 
 A tree broadcast to all tasks would have to hold all fingerprints, whose number grows with the
 corpus; by the blocks, a tree meets only fingerprints that can be near it.
@@ -14,11 +14,12 @@ corpus; by the blocks, a tree meets only fingerprints that can be near it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadspark.llm.common import join_groups, written
@@ -26,28 +27,36 @@ from dyadspark.llm.components import connected_components
 
 #: A bucket of more fingerprints is cut into shards, and each two shards meet in a task of their own.
 TREE_LIMIT = 20_000
-_SPREAD = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)], dtype=np.uint8)
+#: Fingerprints are cut into more blocks, and meet in more and narrower buckets, until a bucket holds so many on average.
+BUCKET_MEAN = 512
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text in UTF-8, A-Z lower-cased, repeats included."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a text in UTF-8, A-Z lower-cased, in order; none for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     flat = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(flat, seed)
+        return np.array([digest(flat, seed)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - shingle + 1
+    first = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    return np.fromiter((digest(flat[a:b], seed) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(first))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits, highest first, that over half of the hashes have."""
     votes = np.zeros(64, dtype=np.int64)
-    first, last = starts[:n].tolist(), ends[shingle - 1 :].tolist()
-    for low in range(0, n, 1 << 14):
-        high = min(low + (1 << 14), n)
-        h = np.array([digest(flat[a:b], seed) for a, b in zip(first[low:high], last[low:high], strict=True)], dtype=">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    for low in range(0, len(hashes), 1 << 14):
+        some = hashes[low : low + (1 << 14)].astype(">u8")
+        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return 2 * votes > len(hashes)
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a text in UTF-8, A-Z lower-cased, repeats included."""
+    return int.from_bytes(np.packbits(majority(shingle_hashes(text, shingle, seed))).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -62,51 +71,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """A BK-tree for each bucket. fps: the members, bucket by bucket; bucket: its number, ascending."""
+    """A BK-tree for each bucket. fps: the members as rows of 64-bit words, bucket by bucket; bucket: its number, ascending."""
 
     def __init__(self, fps: np.ndarray, bucket: np.ndarray):
-        self.fps, self.bucket = fps, bucket
-        n = len(fps)
-        self.root = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if n else np.empty(0, dtype=np.int64)
-        self.root_of = self.root[np.cumsum(np.isin(np.arange(n), self.root)) - 1] if n else self.root
-        parents, edges, nodes = [], [], []
-        left = np.flatnonzero(self.root_of != np.arange(n))
+        self.fps, n = fps.reshape(len(bucket), -1), len(bucket)
+        self.bits = 64 * self.fps.shape[1]
+        first = np.concatenate(([True], bucket[1:] != bucket[:-1])) if n else np.empty(0, dtype=bool)
+        self.root_of = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.empty(0, dtype=np.int64)
+        slots, nodes = [], []
+        left = np.flatnonzero(~first)
         at = self.root_of[left]
         while len(left):
             # the first fingerprint at a distance from the node becomes its child there
-            d = np.bitwise_count(fps[left] ^ fps[at]).astype(np.int64)
-            slot = at * 65 + d
+            slot = at * (self.bits + 1) + self.distance(left, at)
             order = np.argsort(slot, kind="stable")
             left, slot = left[order], slot[order]
             head = np.concatenate(([True], slot[1:] != slot[:-1]))
-            child = left[head]
-            nodes.append(child)
-            parents.append(slot[head] // 65)
-            edges.append(slot[head] % 65)
-            at = child[np.cumsum(head) - 1][~head]
+            nodes.append(left[head])
+            slots.append(slot[head])
+            at = left[head][np.cumsum(head) - 1][~head]
             left = left[~head]
         child = np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)
-        slot = np.concatenate(parents) * 65 + np.concatenate(edges) if nodes else child
+        slot = np.concatenate(slots) if slots else child
         order = np.argsort(slot, kind="stable")
         self.slot, self.child = slot[order], child[order]
 
-    def links(self, radius: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
+
+    def links(self, radius: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of members of one bucket within the radius, each once, in blocks."""
         for low in range(0, len(self.fps), block):
             query = np.arange(low, min(low + block, len(self.fps)))
             node = self.root_of[query]
             while len(query):
-                d = np.bitwise_count(self.fps[query] ^ self.fps[node]).astype(np.int64)
+                d = self.distance(query, node)
                 hit = (d <= radius) & (node < query)
                 if hit.any():
                     yield query[hit], node[hit]
-                a = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0), side="left")
-                b = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), side="right")
+                base = node * (self.bits + 1)
+                a = np.searchsorted(self.slot, base + np.maximum(d - radius, 0), side="left")
+                b = np.searchsorted(self.slot, base + np.minimum(d + radius, self.bits), side="right")
                 n = b - a
                 some = n > 0
                 query, a, n = query[some], a[some], n[some]
-                total = int(n.sum())
-                step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 node = self.child[np.repeat(a, n) + step]
                 query = np.repeat(query, n)
 
@@ -128,49 +137,85 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of at least so many rows that never part the rows of one value in the first column."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= least:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            rows -= cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _near(radius: int):
-    """Arrow batches of (bucket, fp), whole buckets one after another, to edges (a, b)."""
+    """Rows (bucket, node, words of the fingerprint), sorted by bucket, to edges (a, b) between nodes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        for table in whole_groups(batches, 1 << 17):
+            cells, node = table.column(0).to_numpy(), table.column(1).to_numpy()
+            fps = np.stack([table.column(k).to_numpy() for k in range(2, table.num_columns)], axis=1).view(np.uint64)
             bucket = np.cumsum(np.concatenate(([0], (cells[1:] != cells[:-1]).astype(np.int64))))
-            root = spanning(len(fps), Forest(fps.view(np.uint64), bucket).links(radius))
-            tied = root != np.arange(len(fps))
-            return pa.RecordBatch.from_arrays([pa.array(fps[tied]), pa.array(fps[root[tied]])], names=["a", "b"])
-
-        held_cells, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            held_cells = np.concatenate((held_cells, batch.column(0).to_numpy()))
-            held = np.concatenate((held, batch.column(1).to_numpy()))
-            if len(held) >= 1 << 17 and held_cells[0] != held_cells[-1]:
-                cut = int(np.flatnonzero(held_cells[1:] != held_cells[:-1])[-1]) + 1
-                yield solve(held_cells[:cut], held[:cut])
-                held_cells, held = held_cells[cut:], held[cut:]
-        if len(held):
-            yield solve(held_cells, held)
+            root = spanning(len(node), Forest(fps, bucket).links(radius))
+            tied = root != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
 
     return rows
 
 
+def deal(rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
+    """rows with bucket in place of cell, so that any two rows of a cell share a bucket, and no bucket is large.
+
+    rows: cell and more; large: cell, n (its rows) and shards (over 1), written. A row of a large
+    cell is in one of its shards; each two shards meet in a bucket of their own.
+    """
+    rest = [c for c in rows.columns if c != "cell"]
+    if large.isEmpty():
+        return rows.select(F.col("cell").alias("bucket"), *rest)
+    tagged = join_groups(rows, large, "cell", "n", total)
+    x, y = F.pmod(F.xxhash64("node"), F.col("shards")), F.col("__y")
+    spread = tagged.where("shards IS NOT NULL").select("cell", *rest, x.alias("__x"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("__y"))
+    split = spread.select(F.xxhash64("cell", F.least("__x", y), F.greatest("__x", y)).alias("bucket"), *rest)
+    return tagged.where("shards IS NULL").select(F.col("cell").alias("bucket"), *rest).unionByName(split)
+
+
+def bucket_links(dealt: DataFrame, radius: int, total: int, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """Edges (a, b) that join all nodes of a cell within radius of each other, directly or by way of others.
+
+    dealt: cell, node and the words of the node's fingerprint as signed longs; total: its rows.
+    """
+    large = dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tree_limit).withColumn("shards", F.ceil(F.col("n") / (tree_limit / 2)).cast("int"))
+    parts = deal(dealt, written(large, "large-buckets"), total)
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near(radius), "a long, b long").distinct()
+
+
+def block_keys(fp: Column, radius: int, rows: int) -> list[Column]:
+    """Keys of which fingerprints within the radius share at least one: all choices of all but radius blocks of bits."""
+    for blocks in range(radius + 1, radius + 6):
+        cuts = [64 * k // blocks for k in range(blocks + 1)]
+        if rows >> ((64 // blocks) * (blocks - radius)) <= BUCKET_MEAN:
+            break
+    parts = [F.shiftrightunsigned(F.shiftleft(fp, cuts[k]), 64 - cuts[k + 1] + cuts[k]) for k in range(blocks)]
+    return [F.xxhash64(F.lit(k), *[parts[p] for p in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 4, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """Edges (a, b) that join all fingerprints within radius of each other, directly or by way of others.
 
     fps: distinct signed longs in column fp, written.
     """
-    blocks = radius + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    cells = [F.xxhash64(F.lit(k), F.shiftrightunsigned(F.shiftleft("fp", cuts[k]), 64 - cuts[k + 1] + cuts[k])) for k in range(blocks)]
-    dealt = fps.select("fp", F.explode(F.array(*cells)).alias("cell"))
-    large = written(dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tree_limit).withColumn("shards", F.ceil(F.col("n") / (tree_limit / 2)).cast("int")), "large-buckets")
-    if large.isEmpty():
-        parts = dealt.select(F.col("cell").alias("bucket"), "fp")
-    else:
-        # members of shard x meet those of each shard y where the two numbers' cell is theirs alone
-        tagged = join_groups(dealt, large, "cell", "n", fps.count() * blocks)
-        x, y = F.pmod(F.xxhash64("fp"), F.col("shards")), F.col("y")
-        spread = tagged.where("shards IS NOT NULL").select("cell", "fp", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("y"))
-        parts = tagged.where("shards IS NULL").select(F.col("cell").alias("bucket"), "fp").unionByName(spread.select(F.xxhash64("cell", F.least("x", y), F.greatest("x", y)).alias("bucket"), "fp"))
-    return parts.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_near(radius), "a long, b long").distinct()
+    rows = fps.count()
+    keys = block_keys(F.col("fp"), radius, rows)
+    dealt = fps.select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("node"), "fp")
+    return bucket_links(dealt, radius, rows * len(keys), tree_limit)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -194,16 +239,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """docs with one document of each component, the one whose id names it; all columns stay.
-
-    Rows that repeat that id all stay, as do rows without an id.
-    """
-    found = near_duplicates(docs, radius, id_col, text_col, shingle)
-    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
