@@ -12,7 +12,7 @@ from dyadspark.llm.exact_dedup import drop_exact_duplicates
 from dyadspark.llm.langid import keep_identified
 from dyadspark.llm.mixing import apply_mix
 from dyadspark.llm.packing import pack_documents
-from dyadspark.llm.simhash import drop_near_duplicates
+from dyadspark.llm.similar import drop_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; shingles have five words."""
+    """One document of each group of near-duplicates, the one with the smallest id: shingles of five words, a similarity of 0.8 or more."""
     small_batches(spark)
-    return drop_near_duplicates(docs, shingle=5)
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
