@@ -34,6 +34,8 @@ _HINT = re.compile(
     r"comments?|commentlist|respond|replies|disqus|reviews?|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|pagination|pager|tags?|copyright|legal|disclaimer|toolbar|contentinfo|complementary|navigation|dialog)(?=$|[\s_-])",
     re.I,
 )
+#: Such a word of a class says what a page has, not what the element is.
+_ABOUT = re.compile(r"(?:has|no|with|without|is|layout)[-_]", re.I)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _SPACE = re.compile(r"\s+")
@@ -45,6 +47,15 @@ STOP_WORDS = frozenset(
 )
 
 
+def hinted(value: str, in_article: bool) -> bool:
+    """Whether a class, id or role marks boilerplate. Within an article, a header is the article's own."""
+    for word in value.split():
+        found = None if _ABOUT.match(word) else _HINT.search(word)
+        if found and not (in_article and "header" in found[0].lower()):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     text: str
@@ -130,7 +141,7 @@ def blocks(html: str) -> list[Block]:
                     value, key = "".join(values), key.lower()
                     if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                         dropped = True
-                    elif key in {"class", "id", "role"} and name not in ARTICLE and _HINT.search(value):
+                    elif key in {"class", "id", "role"} and name not in ARTICLE and hinted(value, article):
                         framed = True
             if name in ARTICLE and not framed:
                 article = True

@@ -3,8 +3,8 @@
 Each rule rejects documents whose measure lies beyond a cutoff. Per stratum (language), cutoffs are
 tried from the most lenient on against labelled good documents. A cutoff is taken if, at the level
 left by Bonferroni's correction over strata and rules, an exact binomial test shows that it rejects
-less than max_risk of them; the first one that fails ends the search (fixed-sequence testing), so
-that trying many costs nothing. With too few labels nothing is rejected.
+less than the rule's share of max_risk; the first one that fails ends the search (fixed-sequence
+testing), so that trying many costs nothing. With too few labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -71,11 +71,11 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, max_risk: float = 0.01, error: float = 0.05) -> DataFrame:
+def cutoffs(found: DataFrame, labels: DataFrame, max_risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """One row per stratum: stratum and, by rule, the strictest proven cutoff or null.
 
-    labels: doc_id, quality (1: good). The chance that any cutoff in any stratum rejects max_risk or
-    more of its good documents is at most error. Strata without labels have no row.
+    labels: doc_id, quality (1: good). The chance that the cutoffs of any stratum reject max_risk or
+    more of its good documents, all rules together, is at most error. Strata without labels have no row.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = found.join(good, "doc_id", "left_semi")
@@ -85,7 +85,7 @@ def cutoffs(found: DataFrame, labels: DataFrame, max_risk: float = 0.01, error:
 
     def strictest(rule: str) -> Column:
         grid = RULES[rule][2]
-        failed = [binomial_tail(F.col("n"), F.col(f"{rule}_{k}"), max_risk) > level for k in range(len(grid))]
+        failed = [binomial_tail(F.col("n"), F.col(f"{rule}_{k}"), max_risk / len(RULES)) > level for k in range(len(grid))]
         out = F.when(failed[0], F.lit(None).cast("int"))
         for k in range(1, len(grid)):
             out = out.when(failed[k], F.lit(grid[k - 1]))
@@ -94,7 +94,7 @@ def cutoffs(found: DataFrame, labels: DataFrame, max_risk: float = 0.01, error:
     return counts.select("stratum", *[strictest(rule).alias(rule) for rule in RULES])
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, max_risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, max_risk: float = 0.05, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ....
 
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. Documents of a
@@ -113,3 +113,44 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_risk: float = 0.01,
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all documents, by the labels that there are."""
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_GRID = ", ".join(f"('{rule}', {k}, {c})" for rule, (_, _, grid) in RULES.items() for k, c in enumerate(grid))
+_LONG = " UNION ALL ".join(f"SELECT rid, doc_id, stratum, '{rule}' AS rule, {over} AS over, {under} AS under FROM measured" for rule, (over, under, _) in RULES.items())
+OP9_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s FROM base, unnest(range(1, len(w) - 6)) t(i)
+), twice AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, s) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY rid
+), measured AS (
+  SELECT rid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(length(text) - length(translate(text, '!', '')) AS BIGINT) AS n_shouts,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM base LEFT JOIN covered USING (rid)
+), long AS (
+  {_LONG}
+), grid AS (
+  SELECT * FROM (VALUES {_GRID}) g(rule, k, c)
+), counts AS (
+  SELECT stratum, rule, k, c, count(*) AS n, count(*) FILTER (under > 0 AND over * 1000 > c * under) AS bad
+  FROM long JOIN grid USING (rule) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum, rule, k, c
+), tails AS (
+  SELECT *, CASE WHEN bad > n * 0.01 THEN 1.0 ELSE list_sum(list_transform(range(bad + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) END AS tail FROM counts
+), failed AS (
+  SELECT stratum, rule, coalesce(min(k) FILTER (tail > 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts)) * {len(RULES)})), 1000) AS first_bad FROM tails GROUP BY stratum, rule
+), chosen AS (
+  SELECT stratum, rule, max(c ORDER BY k DESC) FILTER (k = first_bad - 1 OR (first_bad = 1000 AND k = last_k)) AS cutoff
+  FROM (SELECT t.*, f.first_bad, max(t.k) OVER (PARTITION BY t.rule) AS last_k FROM tails t JOIN failed f ON t.rule = f.rule AND t.stratum IS NOT DISTINCT FROM f.stratum) GROUP BY stratum, rule
+), verdicts AS (
+  SELECT rid, bool_or(coalesce(under > 0 AND over * 1000 > cutoff * under, FALSE)) AS rejected FROM long l LEFT JOIN chosen c ON l.rule = c.rule AND l.stratum IS NOT DISTINCT FROM c.stratum GROUP BY rid
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured JOIN verdicts USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, stratum, n_lines, n_shouts FROM judged
+"""

@@ -19,4 +19,4 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {f.__name__: _bounded(f) for f in (repair.op1_token_shards, main_text.op2_main_text, exact_dedup.op3_exact_dedup, packing.op4_packing, simhash.op5_simhash, token_counts.op6_token_counts, mixing.op7_mixing, warc.op8_warc, quality.op9_quality, langid.op10_langid)}
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_quality": quality.OP9_SQL}

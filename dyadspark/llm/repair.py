@@ -26,17 +26,20 @@ from dyadspark.llm.common import scratch_path
 from dyadspark.llm.tokens import default_tokenizer, encoder
 
 MAGIC = 0x31725061506552
-#: Below 2**16, symbols take two bytes.
-NARROW = 1 << 16
+#: Below 2**16, symbols take two bytes; vocabularies that leave less room for rules than LEAST_RULES take four.
+NARROW, LEAST_RULES = 1 << 16, 1 << 12
 SHARD_SCHEMA = "shard long, n_docs long, n_tokens long, n_symbols long, n_rules long, blob binary"
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 12, rounds: int = 8, max_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, ends of the documents in them, and rules.
 
-    least: occurrences that a pair needs. max_rules: by default as many as two-byte symbols allow.
+    least: occurrences that a pair needs. max_rules: by default as many as two-byte symbols allow,
+    and as many as those could name where symbols take four bytes.
     """
-    room = max(0, NARROW - base) if max_rules is None else max_rules
+    if max_rules is None:
+        max_rules = NARROW - base if base <= NARROW - LEAST_RULES else NARROW
+    room = max_rules
     # symbols of two bytes make keys of four, which sort in half the time
     kind, wide, half = (np.uint16, np.uint32, 16) if base + room <= NARROW else (np.uint32, np.uint64, 32)
     mix, shift = (wide(0x9E3779B1), wide(12)) if half == 16 else (wide(0x9E3779B97F4A7C15), wide(44))
