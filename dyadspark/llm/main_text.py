@@ -37,7 +37,8 @@ _HINT = re.compile(
 #: Such a word of a class says what a page has, not what the element is.
 _ABOUT = re.compile(r"(?:has|no|with|without|is|layout)[-_]", re.I)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag whose quotes don't pair up ends at the next bracket. Nothing is tried twice, so that broken pages take linear time.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|[^>]*+(?:>|\Z))""", re.S)
 _SPACE = re.compile(r"\s+")
 STOP_WORDS = frozenset(
     "the of and to in is that it for was on are as with be this by from or at an not have has which a "
@@ -121,7 +122,8 @@ def blocks(html: str) -> list[Block]:
             if stack and stack[-1][0] == "p":
                 _, framed, article, dropped = stack.pop()
             depth_link = 0
-        closed = name in VOID or match[3].rstrip().endswith("/")
+        attributes = match[3] or ""
+        closed = name in VOID or attributes.rstrip().endswith("/")
         if name in RAW and not closed:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
@@ -130,14 +132,14 @@ def blocks(html: str) -> list[Block]:
             continue
         if name == "a":
             depth_link += 1
-        if name in BLOCK or name in DROPPED or name in FRAME or match[3]:
+        if name in BLOCK or name in DROPPED or name in FRAME or attributes:
             stack.append((name, framed, article, dropped))
             if name in DROPPED:
                 dropped = True
             if name in FRAME and not (name == "header" and article):
                 framed = True
-            if match[3] and name not in {"html", "body", "a"} and not dropped:
-                for key, *values in _ATTR.findall(match[3]):
+            if attributes and name not in {"html", "body", "a"} and not dropped:
+                for key, *values in _ATTR.findall(attributes):
                     value, key = "".join(values), key.lower()
                     if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                         dropped = True

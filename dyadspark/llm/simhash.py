@@ -99,25 +99,31 @@ class Forest:
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
 
-    def links(self, radius: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members of one bucket within the radius, each once, in blocks."""
+    def links(self, radius: int, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members of one bucket within the radius, each once. At most about block of them are looked at at once."""
         for low in range(0, len(self.fps), block):
             query = np.arange(low, min(low + block, len(self.fps)))
-            node = self.root_of[query]
-            while len(query):
+            waiting = [(query, self.root_of[query], np.ones(len(query), dtype=np.int64), True)]
+            while waiting:
+                query, a, n, roots = waiting.pop()
+                upto = np.cumsum(n)
+                if len(query) > 1 and upto[-1] > block:
+                    half = min(max(1, int(np.searchsorted(upto, upto[-1] // 2))), len(query) - 1)
+                    waiting += [(query[half:], a[half:], n[half:], roots), (query[:half], a[:half], n[:half], roots)]
+                    continue
+                at = np.repeat(a - upto + n, n) + np.arange(int(upto[-1]))
+                node = at if roots else self.child[at]
+                query = np.repeat(query, n)
                 d = self.distance(query, node)
                 hit = (d <= radius) & (node < query)
                 if hit.any():
                     yield query[hit], node[hit]
                 base = node * (self.bits + 1)
                 a = np.searchsorted(self.slot, base + np.maximum(d - radius, 0), side="left")
-                b = np.searchsorted(self.slot, base + np.minimum(d + radius, self.bits), side="right")
-                n = b - a
+                n = np.searchsorted(self.slot, base + np.minimum(d + radius, self.bits), side="right") - a
                 some = n > 0
-                query, a, n = query[some], a[some], n[some]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                node = self.child[np.repeat(a, n) + step]
-                query = np.repeat(query, n)
+                if some.any():
+                    waiting.append((query[some], a[some], n[some], False))
 
 
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -160,7 +166,7 @@ def _near(radius: int):
     """Rows (bucket, node, words of the fingerprint), sorted by bucket, to edges (a, b) between nodes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1 << 17):
+        for table in whole_groups(batches, 1 << 15):
             cells, node = table.column(0).to_numpy(), table.column(1).to_numpy()
             fps = np.stack([table.column(k).to_numpy() for k in range(2, table.num_columns)], axis=1).view(np.uint64)
             bucket = np.cumsum(np.concatenate(([0], (cells[1:] != cells[:-1]).astype(np.int64))))

@@ -26,6 +26,8 @@ from dyadspark.llm.simhash import bucket_links, deal, majority, shingle_hashes,
 WORDS, SEEDS = 4, 6
 #: A group of candidates with more documents, or more shingles in all, is cut up before it is compared.
 GROUP_DOCS, GROUP_SHINGLES = 2000, 4_000_000
+#: So wide a radius leaves little for a tree to skip, so trees stay small.
+TREE_LIMIT = 8000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -129,7 +131,7 @@ def similar_links(table: DataFrame, similarity: float) -> DataFrame:
     # the angle between two sets with so much in common, and four deviations of its estimate
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(64 * WORDS * (share + 4 * math.sqrt(share * (1 - share) / (64 * WORDS))))
-    parts = connected_components(written(bucket_links(dealt, radius, total * SEEDS), "candidate-links"), "candidates")
+    parts = connected_components(written(bucket_links(dealt, radius, total * SEEDS, TREE_LIMIT), "candidate-links"), "candidates")
     held = written(nodes.join(parts, "node").select("node", "row", "size", "component", *seeds), "candidate-nodes")
     sizes = written(held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "candidate-groups")
     big = sizes.where((F.col("n") > GROUP_DOCS) | (F.col("shingles") > GROUP_SHINGLES)).select("component", F.col("n").alias("members"))
