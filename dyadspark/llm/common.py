@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[Hashable, object] = {}
+
+
+def drop_held() -> None:
+    """Give back what this Python worker keeps for other operators; workers outlive the tasks of one."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What make() gave this Python worker before, or gives it now; a worker keeps one such thing."""
+    if key not in _held:
+        drop_held()
+        _held[key] = make()
+    return _held[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what an Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadspark.llm.common import drop_held
+
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -179,6 +181,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", keep:
     names = [f"{prefix}lang_pred", f"{prefix}score"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         reader = Reader(shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(0).to_pylist()

@@ -13,7 +13,7 @@ corpus; by the blocks, a tree meets only fingerprints that can be near it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -193,14 +193,14 @@ def deal(rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
     return tagged.where("shards IS NULL").select(F.col("cell").alias("bucket"), *rest).unionByName(split)
 
 
-def bucket_links(dealt: DataFrame, radius: int, total: int, tree_limit: int = TREE_LIMIT) -> DataFrame:
-    """Edges (a, b) that join all nodes of a cell within radius of each other, directly or by way of others.
+def bucket_links(dealt: DataFrame, near: Callable, total: int, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """Edges (a, b) that near() finds between the nodes of a cell, none of which meets more than tree_limit others at once.
 
-    dealt: cell, node and the words of the node's fingerprint as signed longs; total: its rows.
+    dealt: cell, node and what near() reads, all longs; total: its rows.
     """
     large = dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tree_limit).withColumn("shards", F.ceil(F.col("n") / (tree_limit / 2)).cast("int"))
     parts = deal(dealt, written(large, "large-buckets"), total)
-    return parts.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near(radius), "a long, b long").distinct()
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(near, "a long, b long").distinct()
 
 
 def block_keys(fp: Column, radius: int, rows: int) -> list[Column]:
@@ -221,7 +221,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tree_limit: int = TREE_LI
     rows = fps.count()
     keys = block_keys(F.col("fp"), radius, rows)
     dealt = fps.select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("node"), "fp")
-    return bucket_links(dealt, radius, rows * len(keys), tree_limit)
+    return bucket_links(dealt, _near(radius), rows * len(keys), tree_limit)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -2,9 +2,10 @@
 
 SimHash finds the candidates, an exact comparison decides. A document's sketch is a fingerprint of
 several words and a few seeds, the least of its shingles in as many orders. Documents that share a
-seed meet in a bucket and are looked up in its BK-tree; what lies within the radius is a candidate.
-The candidates' connected groups are small, and there the shingles themselves are compared. Copies
-with the same set of shingles count as one throughout, and groups give back spanning forests.
+seed meet in a bucket, where those that share more seeds are looked up in BK-trees if it is large;
+what lies within the radius is a candidate. The candidates' connected groups are small, and there
+the shingles themselves are compared. Copies with the same set of shingles count as one throughout,
+and groups give back spanning forests.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import join_groups, written
+from dyadspark.llm.common import drop_held, join_groups, written
 from dyadspark.llm.components import connected_components
-from dyadspark.llm.simhash import bucket_links, deal, majority, shingle_hashes, whole_groups
+from dyadspark.llm.simhash import Forest, bucket_links, deal, majority, shingle_hashes, spanning, whole_groups
 
-#: 64-bit words of a fingerprint, and seeds: two documents with four fifths in common share no seed in 0.2 ** 6 of cases.
-WORDS, SEEDS = 4, 6
+#: 64-bit words of a fingerprint, and seeds: two documents with four fifths in common share no seed in 0.2 ** 8 of cases.
+WORDS, SEEDS = 4, 8
+#: A bucket of more documents is parted by further seeds, as long as that makes it smaller.
+LEAF = 256
 #: A group of candidates with more documents, or more shingles in all, is cut up before it is compared.
 GROUP_DOCS, GROUP_SHINGLES = 2000, 4_000_000
-#: So wide a radius leaves little for a tree to skip, so trees stay small.
-TREE_LIMIT = 8000
+#: Buckets of more documents than a task should hold are cut into shards.
+BUCKET_LIMIT = 200_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -55,6 +58,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     names = ["node", "size", *[f"f{k}" for k in range(WORDS)], *[f"s{k}" for k in range(SEEDS)]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             found = [sketch(t.as_py() or b"", shingle) for t in batch.column(2)]
             longs = np.array([[node, len(short) // 4, *words, *seeds] for node, words, seeds, short in found], dtype=np.int64).reshape(-1, len(names))
@@ -65,6 +69,63 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return chosen.mapInArrow(rows, ", ".join(f"{n} long" for n in ["doc_id", "text_hash", *names]) + ", shingles binary")
 
 
+def leaves(bucket: np.ndarray, seeds: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the leaf that each is in, ascending. A row may be in several leaves; one that is alone is in none.
+
+    bucket: its number by row; seeds: rows x SEEDS; last: the seed that made the bucket. A large
+    bucket is parted by each later seed, and what is still large once more; one that a seed leaves
+    mostly whole holds copies and is a leaf. In large ones without a later seed, documents that share
+    another seed have met before.
+    """
+    row, group, at = np.arange(len(bucket)), bucket.astype(np.int64), last.astype(np.int64)
+    rows, names = [], []
+
+    def put(some: np.ndarray) -> None:
+        rows.append(row[some])
+        names.append(group[some] + 1 + max((int(x.max(initial=-1)) for x in names), default=-1))
+
+    for depth in (1, 2, 3):
+        size = np.bincount(group)[group] if len(group) else group
+        large = (size > LEAF) & (depth < 3)
+        put(~large & (size > 1))
+        if not large.any():
+            break
+        parts = []
+        for k in range(1, SEEDS):
+            some = np.flatnonzero(large & (at < k))
+            key = _mixed((group[some] * SEEDS + k).view(np.uint64), 0) ^ seeds[row[some], k].astype(np.uint64)
+            _, inner, n = np.unique(key, return_inverse=True, return_counts=True)
+            parts.append((row[some], group[some], np.full(len(some), k), key, n[inner], 2 * n[inner] > size[some]))
+        row_, parent, at_, key, n, most = (np.concatenate(x) for x in zip(*parts, strict=True))
+        dense = np.unique(parent[most])
+        put(large & np.isin(group, dense))
+        go = (n > 1) & ~np.isin(parent, dense)
+        row, at = row_[go], at_[go]
+        group = np.unique(key[go], return_inverse=True)[1]
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.argsort(name, kind="stable")
+    return row[order], name[order]
+
+
+def _near(radius: int):
+    """Rows (bucket, node, fingerprint words, packed seeds, seed of the bucket), sorted by bucket, to edges (a, b)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
+        for table in whole_groups(batches, 1 << 15):
+            columns = [c.to_numpy() for c in table.columns]
+            cells, node = columns[:2]
+            fps = np.stack(columns[2 : 2 + WORDS], axis=1).view(np.uint64)
+            seeds = np.stack(columns[2 + WORDS : -1], axis=1).view("<u4")
+            bucket = np.cumsum(np.concatenate(([0], (cells[1:] != cells[:-1]).astype(np.int64))))
+            row, leaf = leaves(bucket, seeds, columns[-1])
+            root = spanning(len(node), ((row[a], row[b]) for a, b in Forest(fps[row], leaf).links(radius)))
+            tied = root != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
+
+    return rows
+
+
 def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The smallest member that each set reaches over pairs with a Jaccard similarity of at least similarity.
 
@@ -127,11 +188,14 @@ def similar_links(table: DataFrame, similarity: float) -> DataFrame:
     words, seeds = [f"f{k}" for k in range(WORDS)], [f"s{k}" for k in range(SEEDS)]
     nodes = written(table.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in words + seeds]), "shingle-sets")
     total = nodes.count()
-    dealt = nodes.select(F.explode(F.array(*[F.xxhash64(F.lit(k), s) for k, s in enumerate(seeds)])).alias("cell"), "node", *words)
+    packed = [F.shiftleft(seeds[k + 1], 32).bitwiseOR(F.col(seeds[k]).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"p{k}") for k in range(0, SEEDS, 2)]
+    dealt = nodes.select(F.posexplode(F.array(*[F.xxhash64(F.lit(k), s) for k, s in enumerate(seeds)])).alias("last", "cell"), "node", *words, *packed)
     # the angle between two sets with so much in common, and four deviations of its estimate
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(64 * WORDS * (share + 4 * math.sqrt(share * (1 - share) / (64 * WORDS))))
-    parts = connected_components(written(bucket_links(dealt, radius, total * SEEDS, TREE_LIMIT), "candidate-links"), "candidates")
+    columns = ["cell", "node", *words, *[f"p{k}" for k in range(0, SEEDS, 2)], F.col("last").cast("long")]
+    links = bucket_links(dealt.select(*columns), _near(radius), total * SEEDS, BUCKET_LIMIT)
+    parts = connected_components(written(links, "candidate-links"), "candidates")
     held = written(nodes.join(parts, "node").select("node", "row", "size", "component", *seeds), "candidate-nodes")
     sizes = written(held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "candidate-groups")
     big = sizes.where((F.col("n") > GROUP_DOCS) | (F.col("shingles") > GROUP_SHINGLES)).select("component", F.col("n").alias("members"))
@@ -156,8 +220,9 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     Documents link where their sets of shingles (words as in near_duplicates(), fewer words than a
     shingle: the whole text) have a Jaccard similarity of at least similarity; component_id is the
     smallest id that links reach, null where no document of the class has one. Documents without
-    words are alike. A link is missed where two documents share no seed or their fingerprints lie
-    beyond four deviations: in about one of ten thousand at the similarity itself, fewer above it.
+    words are alike. A link is missed where two documents share too few seeds (none; where a bucket is
+    large, one or two) or their fingerprints lie beyond four deviations: at the similarity itself in
+    about one of ten thousand in small buckets and one of a thousand in the largest, fewer above it.
     """
     table = written(sketches(docs, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     parts = connected_components(written(similar_links(table, similarity), "similar-links"), "similar")

@@ -4,7 +4,8 @@ Words are counted one by one: an Aho-Corasick automaton of the vocabulary lists
 end at each character, and dynamic programming keeps the best score up to there and how many pieces
 it takes. Ties and unknown characters are treated as the tokenizers library does: of equal scores the
 piece that starts first wins; a character that is no piece costs ten more than the worst piece and
-counts as its bytes in UTF-8.
+counts as its bytes in UTF-8. The name of the unknown piece, where a text spells it, is a piece if it
+stands alone, and its bytes next to another unknown one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadspark.llm.common import held
+
 UNKNOWN_PENALTY = 10.0
+UNKNOWN_PIECE = "<unk>"
 MARK = "▁"
 _MARK = MARK.encode()
 
@@ -38,36 +42,43 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 class WordCounter(dict):
     """Word (bytes) to the pieces of its mark and itself. At most 2 * limit words are held."""
 
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 700_000):
+    def __init__(self, pieces: list[tuple[str, float]], limit: int = 700_000, unknown: str = UNKNOWN_PIECE):
         super().__init__()
         self.limit, self.old = limit, {}
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, piece == unknown))
         self.automaton.make_automaton()
-        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.unknown, self.name_bytes = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY, len(unknown.encode())
 
     def viterbi(self, text: str) -> tuple[float, int]:
         """Best score of a text and the number of its pieces."""
-        score, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
-        ends: dict[int, list[tuple[int, float]]] = {}
+        # run: bytes of the unknown pieces that end here one after another, not in count yet; -1: the name alone
+        score, count, run = [0.0] * (len(text) + 1), [0] * (len(text) + 1), [0] * (len(text) + 1)
+        ends: dict[int, list[tuple[int, float, bool]]] = {}
         for last, match in self.automaton.iter(text):
             ends.setdefault(last, []).append(match)
         for last, char in enumerate(text):
-            best, pieces, single = None, 0, False
-            for length, value in ends.get(last, ()):  # longest first, which is by start
-                start = last + 1 - length
-                total = value + score[start]
+            best, at, name, single = None, 0, False, False
+            for length, value, unknown in ends.get(last, ()):  # longest first, which is by start
+                total = value + score[last + 1 - length]
                 if best is None or total > best:
-                    best, pieces = total, count[start] + 1
+                    best, at, name = total, last + 1 - length, unknown
                 single = single or length == 1
             if not single:
                 total = self.unknown + score[last]
                 if best is None or total > best:
-                    best, pieces = total, count[last] + len(char.encode())
-            score[last + 1], count[last + 1] = best, pieces
-        return score[-1], count[-1]
+                    best, at, name = total, last, True
+            score[last + 1] = best
+            if name:
+                before = self.name_bytes if run[at] < 0 else run[at]
+                count[last + 1], run[last + 1] = count[at], before + len(text[at : last + 1].encode())
+                if not before and last > at:
+                    run[last + 1] = -1
+            else:
+                count[last + 1] = count[at] + abs(run[at]) + 1
+        return score[-1], count[-1] + abs(run[-1])
 
     def __missing__(self, word: bytes) -> int:
         n = self.old.get(word)
@@ -88,9 +99,6 @@ class WordCounter(dict):
         return n - self.viterbi(MARK)[1] if words and words[0].startswith(_MARK) else n
 
 
-_counters: dict[str, WordCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_tokens.
 
@@ -100,9 +108,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or default_vocabulary()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = WordCounter(vocabulary(path))
-        counter = _counters[path]
+        counter = held(("counter", path), lambda: WordCounter(vocabulary(path)))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):

@@ -10,6 +10,8 @@ from array import array
 
 import numpy as np
 
+from dyadspark.llm.common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -91,11 +93,6 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: WordEncoder(path))

@@ -79,3 +79,26 @@ def test_one_document_of_each_class_stays(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, other int")
     assert drop_similar(docs).collect() == [] and similar_classes(docs).collect() == []
+
+
+def test_leaves_hold_rows_that_share_seeds(monkeypatch):
+    """Small buckets stay; in large ones, rows with three seeds in common meet, and copies stay together."""
+    monkeypatch.setattr(similar, "LEAF", 10)
+    rng = np.random.default_rng(1)
+    bucket, seeds, last = [], [], []
+    for b, n in enumerate((1, 2, 9, 60, 200, 40)):
+        for _ in range(n):
+            bucket.append(b)
+            last.append(b % 3)
+            seeds.append([7] * 8 if b == 5 else rng.integers(0, 3 if n < 100 else 6, 8).tolist())
+    bucket, seeds, last = np.array(bucket), np.array(seeds, dtype="<u4"), np.array(last)
+    row, leaf = similar.leaves(bucket, seeds, last)
+    assert np.all(np.diff(leaf) >= 0) and np.bincount(leaf)[leaf].min() > 1
+    met = {(int(a), int(b)) for x in np.unique(leaf) for a in row[leaf == x] for b in row[leaf == x] if a < b}
+    assert all(bucket[a] == bucket[b] for a, b in met)
+    for a in range(len(bucket)):
+        for b in range(a + 1, len(bucket)):
+            later = (seeds[a] == seeds[b])[last[a] + 1 :].sum()
+            if bucket[a] == bucket[b] and (bucket[a] in (1, 2, 5) or later >= 2):
+                assert (a, b) in met
+    assert len(met) < sum(n * n for n in (2, 9, 60, 200, 40)) / 3
