@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from dyadspark.llm.tokens import default_tokenizer, encoder
 
+#: Words that an encoder remembers here: fewer than shards do, as pieces are held as well.
+CACHE_WORDS = 250_000
 Piece = tuple  # doc_id, start, ids as bytes, tokens of the document
 
 
@@ -140,7 +142,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
         raise ValueError("capacity must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, CACHE_WORDS), np.array([end_id], dtype="<u4").tobytes()
         packer, base = Packer(capacity), TaskContext.get().partitionId() << 32
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -152,8 +154,8 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
 
         for batch in batches:
             found: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found += packer.add(doc_id, encode.ids(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.documents(batch.column(1)), strict=True):
+                found += packer.add(doc_id, ids + end)
             if found:
                 yield rows(found)
         if found := list(packer.close()):

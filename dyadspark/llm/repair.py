@@ -216,8 +216,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = encode.ids(text.as_py()) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode.documents(batch.column(1)), strict=True):
+                row = found + end
                 ids.append(doc_id)
                 rows.append(row)
                 held += len(row) // 4

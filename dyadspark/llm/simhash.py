@@ -74,7 +74,7 @@ class Forest:
     """A BK-tree for each bucket. fps: the members as rows of 64-bit words, bucket by bucket; bucket: its number, ascending."""
 
     def __init__(self, fps: np.ndarray, bucket: np.ndarray):
-        self.fps, n = fps.reshape(len(bucket), -1), len(bucket)
+        self.fps, n = fps if fps.ndim == 2 else fps[:, None], len(bucket)
         self.bits = 64 * self.fps.shape[1]
         first = np.concatenate(([True], bucket[1:] != bucket[:-1])) if n else np.empty(0, dtype=bool)
         self.root_of = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.empty(0, dtype=np.int64)
@@ -101,8 +101,34 @@ class Forest:
 
     def links(self, radius: int, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of members of one bucket within the radius, each once. At most about block of them are looked at at once."""
-        for low in range(0, len(self.fps), block):
-            query = np.arange(low, min(low + block, len(self.fps)))
+        yield from self._search(radius, np.ones(len(self.fps), dtype=bool), block)
+
+    def joining(self, radius: int, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Enough of links() to join what they join.
+
+        In each bucket the members around a hub, the best of three, are tied to it and not looked up;
+        the others are looked up among all. So a dense bucket takes one step for each member.
+        """
+        n = len(self.fps)
+        if not n:
+            return
+        every = np.arange(n)
+        first = np.flatnonzero(self.root_of == every)
+        size = np.diff(np.append(first, n))
+        hub, tied, most = self.root_of, np.zeros(n, dtype=bool), np.full(len(first), -1)
+        for part in range(3):
+            pick = np.repeat(first + size * part // 3, size)
+            near = self.distance(every, pick) <= radius
+            found = np.add.reduceat(near.astype(np.int64), first)
+            better = np.repeat(found > most, size)
+            hub, tied, most = np.where(better, pick, hub), np.where(better, near, tied), np.maximum(most, found)
+        yield every[tied], hub[tied]
+        yield from self._search(radius, ~tied, block)
+
+    def _search(self, radius: int, asked: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        members = np.flatnonzero(asked)
+        for low in range(0, len(members), block):
+            query = members[low : low + block]
             waiting = [(query, self.root_of[query], np.ones(len(query), dtype=np.int64), True)]
             while waiting:
                 query, a, n, roots = waiting.pop()
@@ -115,7 +141,7 @@ class Forest:
                 node = at if roots else self.child[at]
                 query = np.repeat(query, n)
                 d = self.distance(query, node)
-                hit = (d <= radius) & (node < query)
+                hit = (d <= radius) & ((node < query) | ~asked[node])
                 if hit.any():
                     yield query[hit], node[hit]
                 base = node * (self.bits + 1)
@@ -170,7 +196,7 @@ def _near(radius: int):
             cells, node = table.column(0).to_numpy(), table.column(1).to_numpy()
             fps = np.stack([table.column(k).to_numpy() for k in range(2, table.num_columns)], axis=1).view(np.uint64)
             bucket = np.cumsum(np.concatenate(([0], (cells[1:] != cells[:-1]).astype(np.int64))))
-            root = spanning(len(node), Forest(fps, bucket).links(radius))
+            root = spanning(len(node), Forest(fps, bucket).joining(radius))
             tied = root != np.arange(len(node))
             yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
 

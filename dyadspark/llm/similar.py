@@ -28,7 +28,7 @@ WORDS, SEEDS = 4, 8
 #: A bucket of more documents is parted by further seeds, as long as that makes it smaller.
 LEAF = 256
 #: A group of candidates with more documents, or more shingles in all, is cut up before it is compared.
-GROUP_DOCS, GROUP_SHINGLES = 2000, 4_000_000
+GROUP_DOCS, GROUP_SHINGLES = 20_000, 3_000_000
 #: Buckets of more documents than a task should hold are cut into shards.
 BUCKET_LIMIT = 200_000
 
@@ -119,7 +119,7 @@ def _near(radius: int):
             seeds = np.stack(columns[2 + WORDS : -1], axis=1).view("<u4")
             bucket = np.cumsum(np.concatenate(([0], (cells[1:] != cells[:-1]).astype(np.int64))))
             row, leaf = leaves(bucket, seeds, columns[-1])
-            root = spanning(len(node), ((row[a], row[b]) for a, b in Forest(fps[row], leaf).links(radius)))
+            root = spanning(len(node), ((row[a], row[b]) for a, b in Forest(fps[row], leaf).joining(radius)))
             tied = root != np.arange(len(node))
             yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
 
@@ -129,35 +129,42 @@ def _near(radius: int):
 def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The smallest member that each set reaches over pairs with a Jaccard similarity of at least similarity.
 
-    A set is marked in the group's vocabulary and counted out against those that it isn't tied to yet.
+    A set is marked in the group's vocabulary and counted out against those that it isn't tied to
+    yet; the sets whose shingles are the most common in the group come first, as they tie the most.
     """
     n = len(sets)
-    root = np.arange(n)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
-    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.empty(0), np.empty(0, dtype=np.int64))
-    ends = np.cumsum(sizes)
+    if not sizes.any():
+        return np.arange(n)
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.astype(np.int32)
+    starts, filled = np.cumsum(sizes) - sizes, sizes > 0
+    common = np.zeros(n)
+    common[filled] = np.add.reduceat(np.bincount(ids)[ids], starts[filled]) / sizes[filled]
+    order = np.argsort(-common, kind="stable")
     mark = np.zeros(len(vocabulary), dtype=np.uint8)
-    for i in range(n - 1):
-        open_ = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        open_ = open_[(np.minimum(sizes[open_], sizes[i]) >= similarity * np.maximum(sizes[open_], sizes[i]) - 1e-9) & (sizes[open_] > 0)]
+    root = np.arange(n)
+    place = np.cumsum(filled) - 1
+    for step, i in enumerate(order.tolist()):
+        later = order[step + 1 :]
+        open_ = later[(root[later] != root[i]) & filled[later]]
+        open_ = open_[np.minimum(sizes[open_], sizes[i]) + 1e-9 >= similarity * np.maximum(sizes[open_], sizes[i])]
         if not len(open_) or not sizes[i]:
             continue
-        mine = ids[ends[i] - sizes[i] : ends[i]]
+        mine = ids[starts[i] : starts[i] + sizes[i]]
         mark[mine] = 1
-        if 2 * len(open_) > n - i:
-            common = np.add.reduceat(mark[ids], np.concatenate(([0], ends[:-1]))[sizes > 0], dtype=np.int64)
-            common = common[(np.cumsum(sizes > 0) - 1)[open_]]
+        if 2 * len(open_) > n:
+            both = np.add.reduceat(mark[ids], starts[filled], dtype=np.int64)[place[open_]]
         else:
             length = sizes[open_]
-            start = np.cumsum(length) - length
-            at = np.arange(int(length.sum())) - np.repeat(start, length) + np.repeat(ends[open_] - length, length)
-            common = np.add.reduceat(mark[ids[at]], start, dtype=np.int64)
+            begin = np.cumsum(length) - length
+            at = np.arange(int(length.sum())) + np.repeat(starts[open_] - begin, length)
+            both = np.add.reduceat(mark[ids[at]], begin, dtype=np.int64)
         mark[mine] = 0
-        near = open_[common + 1e-9 >= similarity * (sizes[i] + sizes[open_] - common)]
-        for j in near.tolist():
-            a, b = root[i], root[j]
-            if a != b:
-                root[root == max(a, b)] = min(a, b)
+        near = open_[both + 1e-9 >= similarity * (sizes[i] + sizes[open_] - both)]
+        if len(near):
+            joined = np.isin(root, np.append(root[near], root[i]))
+            root[joined] = root[joined].min()
     return root
 
 

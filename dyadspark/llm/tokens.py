@@ -9,6 +9,8 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from dyadspark.llm.common import held
 
@@ -22,8 +24,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters that NFC leaves alone and that have a lower case of one letter; then at most one mark.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that NFC leaves alone and that have a lower case of one letter; then marks, without those that begin special tokens or contractions.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,17 +59,25 @@ class WordEncoder(dict):
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert") is True and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.marks = {m: self._slow(m) for m in ".,"} | {"": b""} if self.by_word else {}
+        self.marks: dict[str, bytes] = {}
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _marks(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[run] = self._slow(run)
+        return self.marks[run]
+
     def _fresh(self, word: str) -> bytes:
         if m := _PLAIN.fullmatch(word):
             low = m[1].lower()
             spelt = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-            return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes() + self.marks[m[2]]
+            ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            return ids + self._marks(m[2]) if m[2] else ids
         return self._slow(word)
 
     def __missing__(self, word: str) -> bytes:
@@ -92,7 +102,23 @@ class WordEncoder(dict):
             return self._slow(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
-
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and Python worker."""
-    return held(("encoder", path), lambda: WordEncoder(path))
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a batch. Its different words are looked up once each."""
+        if not self.by_word:
+            return [self.ids(t.as_py()) for t in texts]
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, start = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        n = size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(start[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        ends = (4 * upto[split.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encoder(path: str, words: int = 700_000) -> WordEncoder:
+    """One encoder for each file and Python worker; it remembers twice so many words at most."""
+    return held(("encoder", path, words), lambda: WordEncoder(path, words))

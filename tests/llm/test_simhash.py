@@ -89,6 +89,18 @@ def test_forest_finds_all_pairs_of_its_buckets():
     assert got == {(i, j) for i in range(len(fps)) for j in range(i) if bucket[i] == bucket[j] and sum(int(v).bit_count() for v in wide[i] ^ wide[j]) <= 30}
 
 
+def test_joining_joins_what_all_links_join():
+    fps = np.array(chains(6, 400), dtype=np.uint64)
+    for parts in (1, 7):
+        bucket = np.sort(np.arange(len(fps)) % parts)
+        forest = Forest(fps, bucket)
+        for radius in (0, 3, 8, 28):
+            assert spanning(len(fps), forest.joining(radius)).tolist() == spanning(len(fps), forest.links(radius)).tolist()
+    dense = np.uint64(1) << np.arange(60, dtype=np.uint64)
+    assert sum(len(a) for a, _ in Forest(dense, np.zeros(60, dtype=np.int64)).joining(2)) == 60
+    assert list(Forest(dense[:0], np.zeros(0, dtype=np.int64)).joining(2)) == []
+
+
 def test_spanning_and_components(spark):
     pairs = [(5, 4), (4, 3), (9, 8), (1, 0), (3, 9)]
     root = spanning(10, iter([(np.array([a]), np.array([b])) for a, b in pairs]))
