@@ -42,8 +42,18 @@ class Metric:
         raise NotImplementedError
 
     def design(self, graph: Graph, cells: DataFrame) -> DataFrame:
-        """src, dst, local_idx, v over the dyads in cells, in the first graph."""
-        raise NotImplementedError(f"{self.title} has no change scores")
+        """src, dst, local_idx, v over the dyads in cells, in the first graph.
+
+        Unless a metric knows better: its values with each dyad on, less those with it off. That
+        takes two graphs for each dyad, so metrics for large graphs should say how they change.
+        """
+        kept = graph.edges.where("graph_id = 0").select(F.col("src").alias("s"), F.col("dst").alias("d"))
+        cells = cells.select("src", "dst", dyad_index(F.col("src"), F.col("dst"), graph.n, graph.directed).alias("k"))
+        others = cells.join(F.broadcast(kept), (F.col("s") != F.col("src")) | (F.col("d") != F.col("dst"))).select(F.explode(F.array(2 * F.col("k"), 2 * F.col("k") + 1)).alias("graph_id"), F.col("s").alias("src"), F.col("d").alias("dst"))
+        toggled = others.unionByName(cells.select((2 * F.col("k") + 1).alias("graph_id"), "src", "dst"))
+        found = self.values(graph.but(edges=toggled)).select(F.shiftright("graph_id", 1).alias("k"), "local_idx", F.when(F.col("graph_id") % 2 == 1, F.col("value")).otherwise(-F.col("value")).alias("v"))
+        change = found.groupBy("k", "local_idx").agg(F.sum("v").alias("v")).where("v <> 0")
+        return cells.join(change, "k").select("src", "dst", "local_idx", "v")
 
     def bootstrap(self, halves: DataFrame, graph: Graph) -> DataFrame:
         """rep, local_idx, value scaled to the whole graph. halves: rep, node, half."""
