@@ -25,6 +25,8 @@ from dyadspark.llm.common import join_groups, scratch_path, written
 #: A gzip member ends with the high byte of its length, which is zero below this many bytes.
 MEMBER_BYTES = (1 << 24) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A payload of more bytes is heavy: files hold so few of these that a reader can take a file whole.
+HEAVY_BYTES, HEAVY_PER_FILE = 100_000, 8
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, payload binary"
 
 
@@ -136,16 +138,17 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None, level: int = 6, records_per_file: int = 5000) -> None:
     """Write a record per row: the row with the smallest page_id of equal payloads is a response, the others revisit it.
 
-    Rows that repeat that page_id are responses as well. A null html is an empty payload.
+    Rows that repeat that page_id are responses as well. A null html is an empty payload. path must be new.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), payload_sha1(F.col("html")).alias("sha1"))
     headers = rows.select("page_id", "url", "sha1", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
     shared = written(resolve_revisits(headers, least_bytes), "warc-shared")
+    total, largest = headers.agg(F.count("*"), F.coalesce(F.max("payload_bytes"), F.lit(0))).first()
     if shared.isEmpty():
         planned = rows.withColumns({"keep_id": F.lit(None).cast("long"), "keep_url": F.lit(None).cast("string")})
     else:
-        planned = join_groups(rows, shared, "sha1", "n", pages.count()).drop("n")
+        planned = join_groups(rows, shared, "sha1", "n", total).drop("n")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +160,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str | No
                 out.append(zipped(record, level))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    packed = planned.select("page_id", "url", "html", "sha1", "keep_id", "keep_url").mapInArrow(records, "value binary")
-    # the text writer puts bytes out as they are, and ends each row with the zero that zipped() left out
-    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    heavy = F.coalesce(F.octet_length("html"), F.lit(0)) > HEAVY_BYTES
+    for some, per_file in ((~heavy, records_per_file), (heavy, HEAVY_PER_FILE)) if largest > HEAVY_BYTES else ((F.lit(True), records_per_file),):
+        packed = planned.where(some).select("page_id", "url", "html", "sha1", "keep_id", "keep_url").mapInArrow(records, "value binary")
+        # the text writer puts bytes out as they are, and ends each row with the zero that zipped() left out
+        packed.select(F.col("value").cast("string")).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

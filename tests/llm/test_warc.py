@@ -56,6 +56,18 @@ def test_archives_are_gzip_members_that_any_reader_opens(spark, tmp_path):
     assert back[3, PAGES[1][1]]["payload"] == b"<p>same</p>" and back[9, None]["payload"] is None and back[4, "é"]["payload"] == PAGES[5][2].encode()
 
 
+def test_heavy_payloads_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("dyadspark.llm.warc.HEAVY_BYTES", 1000)
+    monkeypatch.setattr("dyadspark.llm.warc.HEAVY_PER_FILE", 2)
+    rows = [(k, "u", f"{k} " * (2000 if k % 3 == 0 else 1)) for k in range(30)] + [(99, "v", "3 " * 2000)]
+    path = str(tmp_path / "out")
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = [len(list(records_in(f.read_bytes()))) for f in (tmp_path / "out").glob("part-*")]
+    assert sorted(files)[-1] == 20 and sum(files) == 31 and len(files) == 7
+    back = {r["page_id"]: r for r in read_warc(spark, path, with_payload=True).collect()}
+    assert back[99]["refers_to"] == 3 and all(back[i]["payload"] == h.encode() for i, _, h in rows[:-1])
+
+
 def test_short_payloads_are_not_shared(spark, tmp_path):
     path = str(tmp_path / "out")
     write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path, least_bytes=8)
