@@ -107,7 +107,8 @@ class Forest:
         """Enough of links() to join what they join.
 
         In each bucket the members around a hub, the best of three, are tied to it and not looked up;
-        the others are looked up among all. So a dense bucket takes one step for each member.
+        the others are looked up among all. So a dense bucket takes one step for each member. Where
+        the radius is so wide that a lookup would follow nearly all edges, the bucket is scanned.
         """
         n = len(self.fps)
         if not n:
@@ -123,7 +124,28 @@ class Forest:
             better = np.repeat(found > most, size)
             hub, tied, most = np.where(better, pick, hub), np.where(better, near, tied), np.maximum(most, found)
         yield every[tied], hub[tied]
-        yield from self._search(radius, ~tied, block)
+        asked, away = ~tied, self.distance(every, hub)
+        for low, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            own = away[low : low + n]
+            query = np.flatnonzero(asked[low : low + n])
+            steps = np.sort(own)
+            followed = np.searchsorted(steps, own[query] + radius, side="right") - np.searchsorted(steps, own[query] - radius)
+            if followed.sum() > 0.9 * n * len(query):
+                asked[low : low + n] = False
+                yield from self._scan(radius, low, n, query + low, block)
+        yield from self._search(radius, asked, block)
+
+    def _scan(self, radius: int, low: int, n: int, members: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        all_ = np.ascontiguousarray(self.fps[low : low + n].T)
+        step = max(1, block // n)
+        for at in range(0, len(members), step):
+            query = members[at : at + step]
+            d = np.zeros((len(query), n), dtype=np.uint16)
+            for word, own in zip(all_, self.fps[query].T, strict=True):
+                d += np.bitwise_count(own[:, None] ^ word)
+            a, b = np.nonzero(d <= radius)
+            a, b = query[a], b + low
+            yield a[a != b], b[a != b]
 
     def _search(self, radius: int, asked: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         members = np.flatnonzero(asked)

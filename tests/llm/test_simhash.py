@@ -96,6 +96,11 @@ def test_joining_joins_what_all_links_join():
         forest = Forest(fps, bucket)
         for radius in (0, 3, 8, 28):
             assert spanning(len(fps), forest.joining(radius)).tolist() == spanning(len(fps), forest.links(radius)).tolist()
+    wide = np.random.default_rng(3).integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    wide[150:] = wide[:150]
+    wide[150:, 0] ^= np.uint64(0xFFFF)
+    forest = Forest(wide, np.zeros(300, dtype=np.int64))
+    assert spanning(300, forest.joining(61)).tolist() == spanning(300, forest.links(61)).tolist() == [*range(150), *range(150)]
     dense = np.uint64(1) << np.arange(60, dtype=np.uint64)
     assert sum(len(a) for a, _ in Forest(dense, np.zeros(60, dtype=np.int64)).joining(2)) == 60
     assert list(Forest(dense[:0], np.zeros(0, dtype=np.int64)).joining(2)) == []
