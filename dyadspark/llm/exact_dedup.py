@@ -28,13 +28,13 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), 256)
 
 
-def repeated_cells(hashes: DataFrame, column: str, rows: int) -> tuple[np.ndarray, int]:
-    """Bits of the cells that were hit at least twice, and log2 of their number."""
+def repeated_cells(hashes: DataFrame, column: str, rows: int, least: int = 2) -> tuple[np.ndarray, int]:
+    """Bits of the cells that were hit at least so often, and log2 of their number."""
     log2 = min(MAX_CELLS_LOG2, max(16, (CELLS_PER_ROW * max(rows, 1) - 1).bit_length()))
     mask = (1 << log2) - 1
     h = F.col(column)
     hits = hashes.select(F.explode(F.array(h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(mask)))).alias("cell"))
-    twice = hits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select((F.col("cell") + 1).alias("cell"))
+    twice = hits.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least).select((F.col("cell") + 1).alias("cell"))
     maps = twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     bits = np.zeros((1 << log2) // 8, dtype=np.uint8)
     for row in maps.toLocalIterator():
@@ -44,7 +44,7 @@ def repeated_cells(hashes: DataFrame, column: str, rows: int) -> tuple[np.ndarra
 
 
 def maybe_repeated(spark: SparkSession, bits: np.ndarray, log2: int):
-    """A column function: may the hash occur more than once?"""
+    """A column function: may the hash be among those that filled the cells?"""
     shared, mask = spark.sparkContext.broadcast(bits), (1 << log2) - 1
 
     @F.pandas_udf("boolean")

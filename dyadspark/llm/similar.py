@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.llm.common import drop_held, join_groups, written
 from dyadspark.llm.components import connected_components
+from dyadspark.llm.exact_dedup import maybe_repeated, repeated_cells
 from dyadspark.llm.simhash import Forest, bucket_links, deal, majority, shingle_hashes, spanning, whole_groups
 
 #: 64-bit words of a fingerprint, and seeds: two documents with four fifths in common share no seed in 0.2 ** 8 of cases.
@@ -217,7 +218,10 @@ def similar_links(table: DataFrame, similarity: float) -> DataFrame:
         shards = F.ceil(2 * F.greatest(F.col("n") / GROUP_DOCS, F.col("shingles") / GROUP_SHINGLES)).cast("int")
         large = written(counts.where((F.col("n") > GROUP_DOCS) | (F.col("shingles") > GROUP_SHINGLES)).select("cell", "n", shards.alias("shards")), "large-groups")
         keyed = few.unionByName(deal(many.drop("size"), large, total * SEEDS))
-    sets = table.select("row", "shingles").join(keyed, "row").select("bucket", "node", "shingles")
+    keyed = written(keyed, "candidate-buckets")
+    # only the sets of candidates, and a few more, are shuffled
+    test = maybe_repeated(table.sparkSession, *repeated_cells(keyed.select(F.xxhash64("row").alias("h")), "h", keyed.count(), 1))
+    sets = table.select("row", "shingles").where(test(F.xxhash64("row"))).join(keyed.hint("merge"), "row").select("bucket", "node", "shingles")
     return sets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_exact(similarity), "a long, b long").distinct()
 
 
@@ -248,5 +252,9 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     """
     found = similar_classes(docs, similarity, shingle, id_col, text_col)
     dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near-copies")
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    return docs.join(dropped, same, "left_anti")
+    test = maybe_repeated(docs.sparkSession, *repeated_cells(dropped.select(F.xxhash64("__id", "__hash").alias("h")), "h", dropped.count(), 1))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash"))
+    # rows that are surely no copies pass straight through
+    marked = rows.withColumn("__maybe", test(F.xxhash64("__id", "__hash")))
+    kept = marked.where("__maybe").join(dropped, ["__id", "__hash"], "left_anti").select("__row")
+    return marked.where("NOT __maybe").select("__row").unionByName(kept).select("__row.*")
