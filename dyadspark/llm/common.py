@@ -51,6 +51,11 @@ _held: dict[Hashable, object] = {}
 def drop_held() -> None:
     """Give back what this Python worker keeps for other operators; workers outlive the tasks of one."""
     _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -62,10 +67,11 @@ def held[T](key: Hashable, make: Callable[[], T]) -> T:
     if key not in _held:
         drop_held()
         _held[key] = make()
+        give_back()
     return _held[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what an Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

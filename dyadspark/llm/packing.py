@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from dyadspark.llm.tokens import default_tokenizer, encoder
 
 #: Words that an encoder remembers here: fewer than shards do, as pieces are held as well.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 Piece = tuple  # doc_id, start, ids as bytes, tokens of the document
 
 
