@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import scratch_path
+from dyadspark.llm.common import scratch_path, small_batches
 from dyadspark.llm.tokens import default_tokenizer, encoder
 
 MAGIC = 0x31725061506552
@@ -265,6 +265,7 @@ def read_token_shards(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through the file format and back."""
+    small_batches(spark, 1000)  # words are looked up once a batch
     path = scratch_path(spark, "token-shards")
     write_token_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_token_shards(spark, path)
