@@ -191,6 +191,29 @@ def _exact(similarity: float):
     return rows
 
 
+def _differs(common: int, own: int, other: int) -> float:
+    """Probability that a bit of the fingerprints differs, of sets with so many shingles in common and to themselves."""
+    odds = [np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n for n in (common, own, other)]
+    # by the votes in common, whether each set's own votes make it a majority
+    first, second = (np.array([odds[k][max(0, (common + n) // 2 + 1 - votes) :].sum() for votes in range(common + 1)]) for k, n in ((1, own), (2, other)))
+    return float(odds[0] @ (first * (1 - second) + second * (1 - first)))
+
+
+def candidate_radius(similarity: float) -> int:
+    """Bits in which the fingerprints of two sets so similar differ at most: the expected ones and four deviations.
+
+    A bit of large sets differs with the share of the angle between them. In small ones it does more
+    often, the most in about the smallest that can be so similar without being equal.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    if 0 < similarity < 1:
+        least = math.ceil(1 / (1 - similarity) - 1e-9)
+        for union in range(least, 3 * least + 1):
+            for common in range(math.ceil(similarity * union - 1e-9), union):
+                share = max(share, *[_differs(common, own, union - common - own) for own in range((union - common) // 2 + 1)])
+    return math.ceil(64 * WORDS * (share + 4 * math.sqrt(share * (1 - share) / (64 * WORDS))))
+
+
 def similar_links(table: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between nodes that join all whose sets are similar. table: sketches(), written, with a column row."""
     words, seeds = [f"f{k}" for k in range(WORDS)], [f"s{k}" for k in range(SEEDS)]
@@ -198,11 +221,8 @@ def similar_links(table: DataFrame, similarity: float) -> DataFrame:
     total = nodes.count()
     packed = [F.shiftleft(seeds[k + 1], 32).bitwiseOR(F.col(seeds[k]).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"p{k}") for k in range(0, SEEDS, 2)]
     dealt = nodes.select(F.posexplode(F.array(*[F.xxhash64(F.lit(k), s) for k, s in enumerate(seeds)])).alias("last", "cell"), "node", *words, *packed)
-    # the angle between two sets with so much in common, and four deviations of its estimate
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(64 * WORDS * (share + 4 * math.sqrt(share * (1 - share) / (64 * WORDS))))
     columns = ["cell", "node", *words, *[f"p{k}" for k in range(0, SEEDS, 2)], F.col("last").cast("long")]
-    links = bucket_links(dealt.select(*columns), _near(radius), total * SEEDS, BUCKET_LIMIT)
+    links = bucket_links(dealt.select(*columns), _near(candidate_radius(similarity)), total * SEEDS, BUCKET_LIMIT)
     parts = connected_components(written(links, "candidate-links"), "candidates")
     held = written(nodes.join(parts, "node").select("node", "row", "size", "component", *seeds), "candidate-nodes")
     sizes = written(held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "candidate-groups")
@@ -232,8 +252,9 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     shingle: the whole text) have a Jaccard similarity of at least similarity; component_id is the
     smallest id that links reach, null where no document of the class has one. Documents without
     words are alike. A link is missed where two documents share too few seeds (none; where a bucket is
-    large, one or two) or their fingerprints lie beyond four deviations: at the similarity itself in
-    about one of ten thousand in small buckets and one of a thousand in the largest, fewer above it.
+    large, one or two) or their fingerprints lie beyond four deviations of the most that
+    sets of any size differ: at the similarity itself in less than one of ten thousand in small
+    buckets and one of a thousand in the largest, fewer above it.
     """
     table = written(sketches(docs, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     parts = connected_components(written(similar_links(table, similarity), "similar-links"), "similar")

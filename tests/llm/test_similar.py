@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -76,6 +77,22 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_short_texts_meet_texts_of_one_word_more(spark):
+    """Four shingles of five in common: bits differ more often than by the angle of large sets."""
+    texts = [[" ".join(f"p{k}w{w}" for w in range(n)) for n in (8, 9)] for k in range(500)]
+    docs = spark.createDataFrame([(2 * k + j, t) for k, pair in enumerate(texts) for j, t in enumerate(pair)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar_classes(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(1000)}
+
+
+def test_the_radius_holds_for_sets_of_all_sizes():
+    for union in (5, 6, 10, 15, 25, 40):
+        for own in range(union // 5 + 1):
+            p = similar._differs(union - union // 5, own, union // 5 - own)
+            radius = similar.candidate_radius(0.8)
+            assert sum(math.comb(256, d) * p**d * (1 - p) ** (256 - d) for d in range(radius + 1, 257)) < 1e-4
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, other int")
     assert drop_similar(docs).collect() == [] and similar_classes(docs).collect() == []
