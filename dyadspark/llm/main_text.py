@@ -31,9 +31,17 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Words of class, id or role that mark boilerplate.
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|aside|widget\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
-    r"comments?|commentlist|respond|replies|disqus|reviews?|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|pagination|pager|tags?|copyright|legal|disclaimer|toolbar|contentinfo|complementary|navigation|dialog)(?=$|[\s_-])",
+    r"comments?|commentlist|respond|replies|disqus|reviews?|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|copyright|legal|disclaimer|toolbar|contentinfo|complementary|navigation|dialog)(?=$|[\s_-])",
     re.I,
 )
+#: Words that mark boilerplate at the end of a class word or before these others; before any other, they say what a text is about.
+_TOPIC_HINT = re.compile(
+    r"(?:^|[\s_-])(?:(?:share|sharing|social|search|tags?)(?:[_-]+(?:links?|lists?|clouds?|box|bar|buttons?|btns?|icons?|form|field|input|wrap|wrapper|container|area|block|section|panel|toggle|share|sharing|follow|counts?|counter|tools|items?|group|row|labels?|titles?|media|networks?)){0,3}|"
+    r"social(?:links?|media|icons?|bar|share|sharing|buttons?)|search(?:box|form|bar|field|input|wrap))$",
+    re.I,
+)
+#: A class word that names a text's category or tag, unless it ends in what an element is.
+_TOPIC = re.compile(r"(?:category|tag)-(?!(?:.*[_-])?(?:nav|navigation|menu|sidebar|widget|breadcrumbs?|banner|header|footer)$)", re.I)
 #: Such a word of a class says what a page has, not what the element is.
 _ABOUT = re.compile(r"(?:has|no|with|without|is|layout)[-_]", re.I)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -51,7 +59,9 @@ STOP_WORDS = frozenset(
 def hinted(value: str, in_article: bool) -> bool:
     """Whether a class, id or role marks boilerplate. Within an article, a header is the article's own."""
     for word in value.split():
-        found = None if _ABOUT.match(word) else _HINT.search(word)
+        if _ABOUT.match(word):
+            continue
+        found = _TOPIC_HINT.match(word) if _TOPIC.match(word) else _TOPIC_HINT.search(word) or _HINT.search(word)
         if found and not (in_article and "header" in found[0].lower()):
             return True
     return False

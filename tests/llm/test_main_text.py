@@ -25,6 +25,16 @@ def test_pages(name):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize("name", ["post hentry category-news tag-economy", "tag-search category-social", "share-price", "social-sciences", "search-results"])
+def test_classes_that_name_a_topic_keep_the_text(name):
+    assert main_text(f'<div class="{name}"><p>{TEXT} {TEXT} {TEXT}</p></div>') == f"{TEXT} {TEXT} {TEXT}"
+
+
+@pytest.mark.parametrize("name", ["tags", "post-tags", "tag-cloud", "tags-links", "entry-share", "social-share-buttons", "search-form", "searchbox", "category-menu"])
+def test_classes_of_lists_and_buttons_mark_boilerplate(name):
+    assert main_text(f'<div class="{name}"><p>{TEXT} {TEXT} {TEXT}</p></div>') == ""
+
+
 def test_open_blocks_take_the_nearest_label():
     blocks = [Block(str(k), 0, False, False, k == 5) for k in range(8)]
     assert second_pass(blocks, [None, True, None, None, False, None, None, True]) == [True, True, True, False, False, True, True, True]
