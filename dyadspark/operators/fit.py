@@ -114,6 +114,29 @@ def pair_rows(model: Collection) -> DataFrame:
     return pairs.select("src", "dst", *[F.coalesce(f"x{s}", empty).alias(f"x{s}") for s in (1, 2, 3)], F.coalesce("y0", F.lit(1.0)).alias("y0"), *[F.coalesce(f"y{s}", F.lit(0.0)).alias(f"y{s}") for s in (1, 2, 3)])
 
 
+def pair_moments(rows: DataFrame, theta: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the four-state logit at theta. rows: x1 .. x3, y0 .. y3."""
+    q = len(theta)
+    table = F.array(*[F.lit(float(t)) for t in theta])
+    score = lambda s: F.aggregate(f"x{s}", F.lit(0.0), lambda a, e: a + e["v"] * F.element_at(table, e["f"] + 1))
+    ps = softmax([F.lit(0.0), score(1), score(2), score(3)])
+    total = F.col("y0") + F.col("y1") + F.col("y2") + F.col("y3")
+    scored = rows.withColumn("n", total).withColumns({f"p{s}": ps[s] for s in (1, 2, 3)})
+    scaled = lambda s, c: F.transform(f"x{s}", lambda e: F.struct(e["f"].alias("f"), (e["v"] * c).alias("v")))
+    first = scored.select(F.explode(F.concat(*[scaled(s, F.col(f"y{s}") - F.col("n") * F.col(f"p{s}")) for s in (1, 2, 3)])).alias("e")).groupBy("e.f").agg(F.sum("e.v").alias("g"))
+    # the states' own products less those of their mean
+    mean = F.struct((-F.col("n")).alias("d"), F.concat(*[scaled(s, F.col(f"p{s}")) for s in (1, 2, 3)]).alias("x"))
+    parts = scored.select(F.explode(F.array(*[F.struct((F.col("n") * F.col(f"p{s}")).alias("d"), F.col(f"x{s}").alias("x")) for s in (1, 2, 3)], mean)).alias("t")).select("t.d", "t.x")
+    both = parts.select("d", "x", F.explode("x").alias("a")).select("d", "a", F.explode("x").alias("b"))
+    second = both.groupBy(F.col("a.f").alias("f"), F.col("b.f").alias("g")).agg(F.sum(F.col("d") * F.col("a.v") * F.col("b.v")).alias("h"))
+    gradient, curvature = np.zeros(q), np.zeros((q, q))
+    for r in first.collect():
+        gradient[r["f"]] = r["g"]
+    for r in second.collect():
+        curvature[r["f"], r["g"]] = r["h"]
+    return gradient, curvature
+
+
 def fit_dyads(model: Collection, start: list[float] | None = None, steps: int = 100, tol: float = 1e-9, limit: int = COMPRESS_LIMIT) -> Fit:
     """Conditional logit of the four states of each pair; directed graphs only."""
     if not model.graph.directed:
@@ -122,7 +145,11 @@ def fit_dyads(model: Collection, start: list[float] | None = None, steps: int =
     grouped = pair_rows(model).groupBy("x1", "x2", "x3").agg(*[F.sum(f"y{s}").alias(f"y{s}") for s in range(4)])
     few = grouped.limit(limit + 1).collect()
     if len(few) > limit:
-        raise ValueError(f"more than {limit} kinds of pairs")
+        grouped = grouped.cache()
+        try:
+            return _newton(q, lambda theta: pair_moments(grouped, theta.tolist()), None if start is None else np.array(start), steps, tol)
+        finally:
+            grouped.unpersist()
     x = np.zeros((len(few), 4, q))
     for k, r in enumerate(few):
         for s in (1, 2, 3):
