@@ -1,9 +1,10 @@
 """The main text of web pages by two passes over their blocks.
 
-Pass one decides what it can. Blocks in menus, headers, footers, sidebars, notices, adverts, forms
-and comment sections are boilerplate, as are blocks that are mostly links; blocks of an article are
-text; elsewhere length, density of stop words and link density decide. Short blocks between are
-left open, and in pass two take the label of the nearest decided neighbours.
+Pass one decides what it can from a block's share of links, its length and its density of stop
+words; where a page is in a language without a list, sentence ends stand for stop words. What
+elements and classes say is one more signal: menus, adverts, comments and the like are boilerplate
+whatever they hold; in an article nothing is boilerplate for a lack of stop words. Short or
+ambiguous blocks are left open, and in pass two take the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -20,20 +21,27 @@ from pyspark.sql import functions as F
 #: Elements whose content is never page text.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "canvas", "math", "noembed", "noframes", "xmp"}
 DROPPED = RAW | {"head", "select", "button", "datalist", "option"}
-#: Elements of boilerplate, whatever their class.
-FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+#: Elements of boilerplate, whatever they hold; then one that is so unless it holds the page's text.
+FRAME = {"nav", "header", "footer", "aside", "menu", "dialog", "fieldset"}
+WRAPPER = {"form"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "col", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of class, id or role that mark boilerplate.
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|aside|widget\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
-    r"comments?|commentlist|respond|replies|disqus|reviews?|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|copyright|legal|disclaimer|toolbar|contentinfo|complementary|navigation|dialog)(?=$|[\s_-])",
+#: Words of class, id or role that mark boilerplate, whatever it holds.
+_HARD = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|breadcrumbs?|cookies?|consent|gdpr|popup|comments?|commentlist|respond|replies|disqus|related|newsletter|subscribe|signup|login|pagination|pager|contentinfo|complementary|navigation)(?=$|[\s_-])",
     re.I,
 )
+#: Words that mark it, unless the element holds the page's text or, within an article, prose.
+_SOFT = re.compile(
+    r"(?:^|[\s_-])(?:promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|foot|sidebar\w*|aside|widget\w*|notices?|alerts?|modal|overlay|reviews?|recommend\w*|copyright|legal|disclaimer|toolbar|dialog)(?=$|[\s_-])",
+    re.I,
+)
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus)(?=$|[\s_-])", re.I)
 #: Words that mark boilerplate at the end of a class word or before these others; before any other, they say what a text is about.
 _TOPIC_HINT = re.compile(
     r"(?:^|[\s_-])(?:(?:share|sharing|social|search|tags?)(?:[_-]+(?:links?|lists?|clouds?|box|bar|buttons?|btns?|icons?|form|field|input|wrap|wrapper|container|area|block|section|panel|toggle|share|sharing|follow|counts?|counter|tools|items?|group|row|labels?|titles?|media|networks?)){0,3}|"
@@ -48,39 +56,61 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"(
 #: A tag whose quotes don't pair up ends at the next bracket. Nothing is tried twice, so that broken pages take linear time.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|[^>]*+(?:>|\Z))""", re.S)
 _SPACE = re.compile(r"\s+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\u2026\u061f\u06d4\u0964](?:\s|$|[\"'\u201d\u00bb)])|[\u3002\uff01\uff1f]")
+#: Scripts written without spaces, in which a sign says about as much as a few letters.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
+#: Frequent function words of ten languages.
 STOP_WORDS = frozenset(
     "the of and to in is that it for was on are as with be this by from or at an not have has which a "
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach "
     "le la les de des et en un une du que qui dans est pour pas au sur par plus ne se ce avec son il "
-    "el los las y del que en un una por con para se es al lo como su no más o".split()
+    "el los las y del que en un una por con para se es al lo como su no más o "
+    "di che è il per non sono della gli alla dei nel "
+    "do da os não uma com em dos ao mais foi "
+    "het een van op te dat zijn voor niet aan "
+    "och att som på av med till inte om ett "
+    "w na i nie się jest że z przez "
+    "и в на не что с по как это из он".split()
 )
+#: A page's language is one of these if so many of its words are such.
+LISTED = 0.1
 
 
-def hinted(value: str, in_article: bool) -> bool:
-    """Whether a class, id or role marks boilerplate. Within an article, a header is the article's own."""
+def hinted(value: str, in_article: bool) -> int:
+    """What a class, id or role marks: 2 boilerplate, 1 boilerplate unless it holds the page's text, 0 nothing. Within an article, a header is the article's own."""
+    worst = 0
     for word in value.split():
         if _ABOUT.match(word):
             continue
-        found = _TOPIC_HINT.match(word) if _TOPIC.match(word) else _TOPIC_HINT.search(word) or _HINT.search(word)
-        if found and not (in_article and "header" in found[0].lower()):
-            return True
-    return False
+        if _TOPIC.match(word):
+            worst = max(worst, int(bool(_TOPIC_HINT.match(word))))
+        elif _HARD.search(word):
+            return 2
+        elif found := _TOPIC_HINT.search(word) or _SOFT.search(word):
+            if not (in_article and "header" in found[0].lower()):
+                worst = 1
+    return worst
 
 
 @dataclass
 class Block:
+    """text; linked: its characters in links; framed: 0 no, 1 by a word within an article that may hold prose, 2 surely boilerplate."""
+
     text: str
     linked: int
-    framed: bool
-    in_article: bool
-    heading: bool
+    framed: int = 0
+    in_article: bool = False
+    heading: bool = False
+    wrapper: int = 0
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in its order, whitespace already folded; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, framed, article, dropped
-    framed = article = dropped = heading = False
+    stack: list[tuple[str, tuple[int, bool, bool, int]]] = []
+    framed, article, dropped, wrapper, heading = 0, False, False, 0, False
+    parents = [0]  # of each wrapper, an element that is boilerplate unless it holds the page's text
     depth_link, parts, linked = 0, [], 0
 
     def flush() -> None:
@@ -88,7 +118,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, min(linked, len(text)), framed, article, heading))
+                out.append(Block(text, min(linked, len(text)), framed, article, heading, wrapper))
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -117,9 +147,9 @@ def blocks(html: str) -> list[Block]:
                 depth_link = max(0, depth_link - 1)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, framed, article, dropped = stack[k]
+                    framed, article, dropped, wrapper = stack[k][1]
                     del stack[k:]
-                    heading = any(s[0] in {"h1", "h2", "h3", "h4", "h5", "h6"} for s in stack[-3:])
+                    heading = any(s[0] in HEADINGS for s in stack[-3:])
                     break
                 if stack[k][0] in BLOCK and name not in BLOCK:
                     break
@@ -130,7 +160,7 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCK:
             flush()
             if stack and stack[-1][0] == "p":
-                _, framed, article, dropped = stack.pop()
+                framed, article, dropped, wrapper = stack.pop()[1]
             depth_link = 0
         attributes = match[3] or ""
         closed = name in VOID or attributes.rstrip().endswith("/")
@@ -143,44 +173,92 @@ def blocks(html: str) -> list[Block]:
         if name == "a":
             depth_link += 1
         if name in BLOCK or name in DROPPED or name in FRAME or attributes:
-            stack.append((name, framed, article, dropped))
+            stack.append((name, (framed, article, dropped, wrapper)))
             if name in DROPPED:
                 dropped = True
-            if name in FRAME and not (name == "header" and article):
-                framed = True
+            hint = 2 if name in FRAME and not (name == "header" and article) else int(name in WRAPPER)
             if attributes and name not in {"html", "body", "a"} and not dropped:
                 for key, *values in _ATTR.findall(attributes):
                     value, key = "".join(values), key.lower()
                     if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                         dropped = True
-                    elif key in {"class", "id", "role"} and name not in ARTICLE and hinted(value, article):
-                        framed = True
-            if name in ARTICLE and not framed:
+                    elif key in {"class", "id", "role"}:
+                        hint = max(hint, hinted(value, article) if name not in ARTICLE else 2 * bool(_COMMENT.search(value)))
+            if hint == 2 or hint == 1 and article:
+                framed = max(framed, 2 if name in WRAPPER else hint)
+            elif hint:
+                parents.append(wrapper)
+                wrapper = len(parents) - 1
+            if name in ARTICLE and framed < 2:
                 article = True
-            heading = name in {"h1", "h2", "h3", "h4", "h5", "h6"}
+            heading = name in HEADINGS
     flush()
-    return out
+    return _frame_wrapped(out, parents)
+
+
+def _frame_wrapped(found: list[Block], parents: list[int]) -> list[Block]:
+    """Wrappers frame their blocks, but for those that hold most of the page's text (of its articles' text, if it has any)."""
+    if len(parents) > 1:
+        counted = [b for b in found if b.framed < 2 and 2 * b.linked <= len(b.text)]
+        counted = [b for b in counted if b.in_article] or counted
+        inside = [0] * len(parents)
+        for b in counted:
+            inside[b.wrapper] += len(b.text)
+        total = sum(inside)
+        for w in range(len(parents) - 1, 0, -1):
+            inside[parents[w]] += inside[w]
+        frames = [False] * len(parents)
+        for w in range(1, len(parents)):
+            frames[w] = frames[parents[w]] or 2 * inside[w] <= total
+        for b in found:
+            if frames[b.wrapper]:
+                b.framed = 2
+    return found
 
 
-def first_pass(found: list[Block], short: int = 70, long: int = 200, stop_low: float = 0.15, stop_high: float = 0.3, link_share: float = 0.5) -> list[bool | None]:
-    """True for text, False for boilerplate, None for blocks too short to tell."""
-    labels: list[bool | None] = []
-    for b in found:
-        if b.framed or b.linked > link_share * len(b.text):
-            labels.append(False)
-        elif b.in_article:
-            labels.append(True)
+def stop_density(text: str) -> tuple[int, int]:
+    """Stop words, and all words of a text."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(found: list[Block], short: int = 70, long: int = 200, stop_low: float = 0.15, stop_high: float = 0.3, link_share: float = 0.5) -> list[tuple[bool | None, str]]:
+    """A label (True for text, False for boilerplate, None for open) and the rule that gave it, block by block."""
+    free = [b.framed < 2 and b.linked <= link_share * len(b.text) for b in found]
+    counts = [stop_density(b.text) if b.framed < 2 else (0, 0) for b in found]
+    stops, words = (sum(c[k] for c, own in zip(counts, free, strict=True) if own) for k in (0, 1))
+    listed = stops >= LISTED * max(1, words)
+    own = sum(len(b.text) for b, good in zip(found, free, strict=True) if good and b.in_article)
+    # a page whose article holds most of its text has no text elsewhere
+    only_article = 2 * own > sum(len(b.text) for b, good in zip(found, free, strict=True) if good)
+    labels: list[tuple[bool | None, str]] = []
+    for b, good, (n_stop, n_words) in zip(found, free, counts, strict=True):
+        length, density = len(b.text), n_stop / max(1, n_words)
+        dense = listed and (density >= stop_high or (length >= long and density >= stop_low))
+        sentence = not listed and length + 2 * len(_DENSE.findall(b.text)) >= short and bool(_SENTENCE.search(b.text))
+        if b.linked > 0.9 * length:
+            labels.append((False, "links"))
+        elif b.framed == 2:
+            labels.append((False, "tag"))
+        elif not good and not (b.in_article and length >= short and density >= stop_low):
+            labels.append((False, "links"))
+        elif b.heading:
+            labels.append((None, "heading"))
+        elif only_article and not b.in_article:
+            labels.append((False, "tag"))
+        elif sentence and good:
+            labels.append((True, "length"))
+        elif length < short:
+            outside = not b.in_article and (b.linked or "\u00a9" in b.text)
+            labels.append((False, "links" if b.linked else "length") if outside else (False, "tag") if b.framed else (None, "short"))
+        elif dense and good:
+            labels.append((True, "density"))
+        elif b.framed:
+            labels.append((False, "tag"))
+        elif listed and density < stop_low and b.linked and not b.in_article:
+            labels.append((False, "density"))
         else:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
-            if len(b.text) < short or b.heading:
-                labels.append(None)
-            elif density >= stop_high or (len(b.text) >= long and density >= stop_low):
-                labels.append(True)
-            elif density < stop_low and b.linked:
-                labels.append(False)
-            else:
-                labels.append(None)
+            labels.append((None, "ambiguous"))
     return labels
 
 
@@ -188,38 +266,58 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Open blocks take the label that the nearest decided blocks on both sides agree on.
 
     Where they differ, the nearer one counts, and at equal distance text does; headings look at what
-    follows them. With no decided block at all nothing is text.
+    follows them. Blocks of an article look at those of articles only, and are text if none is
+    decided. Where no block of the page is text by pass one, the open ones are, if any but headings.
     """
-    before: list[tuple[int, bool] | None] = []
-    last = None
+    if True not in labels:
+        some = any(label is None and not b.heading for b, label in zip(found, labels, strict=True))
+        return [label is None and some for label in labels]
+    n = len(labels)
+    before: list[list[tuple[int, bool] | None]] = [[], []]
+    last: list[tuple[int, bool] | None] = [None, None]
     for k, label in enumerate(labels):
-        last = (k, label) if label is not None else last
-        before.append(last)
-    out = [False] * len(labels)
-    after = None
-    for k in range(len(labels) - 1, -1, -1):
+        for side in (0, 1) if found[k].in_article else (0,):
+            last[side] = (k, label) if label is not None else last[side]
+        before[0].append(last[0])
+        before[1].append(last[1])
+    out = [False] * n
+    after: list[tuple[int, bool] | None] = [None, None]
+    for k in range(n - 1, -1, -1):
         label = labels[k]
         if label is not None:
-            after, out[k] = (k, label), label
+            out[k] = label
+            after[0] = (k, label)
+            if found[k].in_article:
+                after[1] = (k, label)
             continue
-        prior = before[k]
-        if found[k].heading and after:
-            out[k] = after[1]
-        elif prior and after and prior[1] != after[1]:
-            out[k] = prior[1] if k - prior[0] < after[0] - k else after[1] if k - prior[0] > after[0] - k else True
-        elif prior or after:
-            out[k] = (prior or after)[1]
+        side = int(found[k].in_article)
+        prior, then = before[side][k], after[side]
+        if found[k].heading and then:
+            out[k] = then[1]
+        elif prior and then and prior[1] != then[1]:
+            out[k] = prior[1] if k - prior[0] < then[0] - k else then[1] if k - prior[0] > then[0] - k else True
+        elif prior or then:
+            out[k] = (prior or then)[1]
+        else:
+            out[k] = bool(side)
     return out
 
 
 def main_text(html: str | None) -> str:
     """The blocks of text, joined by line ends; empty for null."""
     found = blocks(html or "")
-    return "\n".join(b.text for b, good in zip(found, second_pass(found, first_pass(found)), strict=True) if good)
+    labels = [label for label, _ in first_pass(found)]
+    return "\n".join(b.text for b, good in zip(found, second_pass(found, labels), strict=True) if good)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns keep, text and n_chars (code points). Null and empty pages give an empty text."""
+    """The columns keep, text and n_chars (code points), one row per row.
+
+    Null and empty pages, and those without text, give an empty text; an empty table gives no rows.
+    Pages are read whole, in time linear in their length; rows that repeat a page_id or a whole page
+    are told apart by nothing and each give a row. Columns that are not in keep are ignored, also if
+    they are named as the result's are.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
