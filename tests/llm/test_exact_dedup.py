@@ -2,9 +2,11 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from dyadspark.llm import exact_dedup
-from dyadspark.llm.exact_dedup import OP3_SQL, drop_exact_duplicates, exact_duplicates, op3_exact_dedup
+from dyadspark.llm.common import written
+from dyadspark.llm.exact_dedup import OP3_SQL, drop_exact_duplicates, exact_duplicates, mark_repeated, op3_exact_dedup
 from tests.llm.helpers import DOCS, SMALL, ascii_lower, awkward_docs, rows_of, save, sql
 
 
@@ -15,7 +17,7 @@ def expected(docs):
     return {h: (max((i for i in ids if i is not None), default=None), len(ids)) for h, ids in groups.items()}
 
 
-@pytest.mark.parametrize("cells", [15, 30])
+@pytest.mark.parametrize("cells", [14, 30])
 def test_awkward_rows_with_and_without_false_alarms(spark, tmp_path, monkeypatch, cells):
     monkeypatch.setattr(exact_dedup, "MAX_CELLS_LOG2", cells)
     docs = awkward_docs() + [(1000 + k, f"text number {k}", "en", "z", 1) for k in range(3000)]
@@ -29,6 +31,15 @@ def test_awkward_rows_with_and_without_false_alarms(spark, tmp_path, monkeypatch
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+@pytest.mark.parametrize("cells", [13, 30])
+def test_only_repeats_and_few_others_are_taken_for_repeats(spark, monkeypatch, cells):
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS_LOG2", cells)
+    table = written(spark.range(6000).select(F.xxhash64(F.when(F.col("id") % 20 == 0, F.col("id") % 200).otherwise(F.col("id"))).alias("h"), F.col("id")).sortWithinPartitions("h"), "t")
+    marked = mark_repeated(table, 6000).collect()
+    assert len(marked) == 6000 and all(r["maybe"] for r in marked if r["id"] % 20 == 0)
+    assert sum(r["maybe"] for r in marked if r["id"] % 20) < 0.03 * 5700
+
+
 def test_sql_twin(spark):
     assert rows_of(op3_exact_dedup(spark, SMALL)) == sql(SMALL, OP3_SQL)
 
