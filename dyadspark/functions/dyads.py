@@ -76,14 +76,23 @@ def labelled(graph: Graph, cells: DataFrame | None = None) -> DataFrame:
     return (cells if cells is not None else dyads(graph)).join(shares, ["src", "dst"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
-def dyad_states(graph: Graph) -> DataFrame:
-    """graph_id, src < dst and state: y(src, dst) + 2 y(dst, src)."""
-    spark = graph.nodes.sparkSession
-    ids = graph.edges.select("graph_id").distinct()
+def seen_states(graph: Graph) -> DataFrame:
+    """graph_id, src < dst and state of the pairs that have an edge."""
     one = graph.edges.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("bit"))
-    seen = one.groupBy("graph_id", "src", "dst").agg(F.sum("bit").cast("int").alias("state"))
-    pairs = grid(spark, graph.n, directed=False).select("src", "dst").join(F.broadcast(ids))
-    return pairs.join(seen, ["graph_id", "src", "dst"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    return one.groupBy("graph_id", "src", "dst").agg(F.sum("bit").cast("int").alias("state"))
+
+
+def with_graphs(cells: DataFrame, count: int, first: int = 0) -> DataFrame:
+    """Each row once for each of count graphs, with graph_id. Nothing is broadcast: rows are repeated where they are."""
+    if count <= 0:
+        return cells.limit(0).withColumn("graph_id", F.lit(0).cast("long"))
+    return cells.withColumn("graph_id", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + count - 1).cast("long"))))
+
+
+def dyad_states(graph: Graph) -> DataFrame:
+    """graph_id, src < dst and state, y(src, dst) + 2 y(dst, src), of every graph, those without edges included."""
+    pairs = with_graphs(grid(graph.nodes.sparkSession, graph.n, directed=False).select("src", "dst"), graph.graphs)
+    return pairs.join(seen_states(graph), ["graph_id", "src", "dst"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
 
 
 def graph_code(graph: Graph) -> DataFrame:

@@ -166,7 +166,7 @@ class GraphModel:
 
     def _sampled(self, edges: DataFrame, count: int) -> DataFrame:
         """t, f_idx, value of sampled graphs; those without edges have zeros."""
-        stats = self.collection.sample_statistics(self.graph.but(edges=edges)).select(F.col("graph_id").alias("t"), "f_idx", "value")
+        stats = self.collection.sample_statistics(self.graph.but(edges=edges, count=count)).select(F.col("graph_id").alias("t"), "f_idx", "value")
         every = edges.sparkSession.range(count).select(F.col("id").alias("t")).join(F.broadcast(self.collection.feature_table().select("f_idx")))
         return every.join(stats, ["t", "f_idx"], "left").select("t", "f_idx", F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -189,6 +189,10 @@ class GraphModel:
         weights = None if proposal == Proposal.UNIFORM else sampling.influence(self.collection, Proposal(proposal))
         return sampling.metropolis_hastings(self.collection, self.theta, count, seed, burn_in, thin, chains, start, weights, replace)
 
+    def simulated(self, count: int, **options) -> Graph:
+        """simulate() as a sample to fit: graphs that were drawn without an edge count as well."""
+        return self.graph.but(edges=self.simulate(count, **options).where("src IS NOT NULL").select("graph_id", "src", "dst"), count=count)
+
     # evaluation
 
     def predict(self, graph: Graph | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.functions.dyads import dyads, grid, labelled
+from dyadspark.functions.dyads import dyads, grid, labelled, with_graphs
 from dyadspark.functions.rng import bernoulli, draw
 from dyadspark.operators.metrics import Metric, Reciprocity
 from dyadspark.spec import Graph, Scheme
@@ -188,7 +188,7 @@ class Collection:
     def gram(self, samples: int, seed: int) -> np.ndarray:
         """Sum over random graphs of the outer product of their statistics."""
         random = random_graphs(self.graph.nodes.sparkSession, self.graph.n, self.graph.directed, samples, 0.5, seed)
-        stats = self.sample_statistics(self.graph.but(edges=random, mask=self.graph.mask)).select("graph_id", F.col("f_idx").alias("f"), "value").where("value <> 0")
+        stats = self.sample_statistics(self.graph.but(edges=random, count=samples)).select("graph_id", F.col("f_idx").alias("f"), "value").where("value <> 0")
         q = len(self.features())
         rows = stats.alias("a").join(stats.alias("b"), "graph_id").groupBy("a.f", F.col("b.f").alias("g")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("s")).collect()
         out = np.zeros((q, q))
@@ -211,9 +211,8 @@ class Collection:
 
 def random_graphs(spark: SparkSession, n: int, directed: bool, count: int, p: float, seed: int) -> DataFrame:
     """Edges of graphs whose dyads are on with probability p, each for itself."""
-    ids = spark.range(count).select(F.col("id").alias("graph_id"))
-    cells = ids.join(F.broadcast(grid(spark, n, directed).select("src", "dst")))
-    return cells.where(bernoulli(p, seed, F.col("graph_id"), F.col("src"), F.col("dst")))
+    cells = with_graphs(grid(spark, n, directed).select("src", "dst"), count)
+    return cells.where(bernoulli(p, seed, F.col("graph_id"), F.col("src"), F.col("dst"))).select("graph_id", "src", "dst")
 
 
 def split_nodes(graph: Graph, reps: int, seed: int) -> DataFrame:
@@ -221,6 +220,6 @@ def split_nodes(graph: Graph, reps: int, seed: int) -> DataFrame:
     from pyspark.sql import Window
 
     spark = graph.nodes.sparkSession
-    cells = spark.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(spark.range(graph.n).select(F.col("id").cast("int").alias("node"))))
+    cells = with_graphs(spark.range(graph.n).select(F.col("id").cast("int").alias("node")), reps).withColumnRenamed("graph_id", "rep")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(draw(seed, F.col("rep"), F.col("node")), "node"))
     return cells.select("rep", "node", F.when(place <= (graph.n + 1) // 2, 0).otherwise(1).alias("half"))

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadspark.functions.dyads import grid, seen_states
 from dyadspark.functions.scalar import EPS, sigmoid, softmax
 from dyadspark.operators.collection import Collection
 from dyadspark.spec import FitResult
@@ -95,21 +96,18 @@ def fit_mple(model: Collection, start: list[float] | None = None, steps: int = 1
 
 
 def state_shares(model: Collection) -> DataFrame:
-    """src < dst, state, share of the graphs in which the pair is in the state."""
-    from dyadspark.functions.dyads import dyad_states
-
+    """src < dst and y0 .. y3, the shares of all graphs in which the pair is in each state, of pairs with an edge in some."""
     k = model.graph.graphs
-    return dyad_states(model.graph).groupBy("src", "dst", "state").agg((F.count("*") / k).alias("share"))
+    seen = seen_states(model.graph).groupBy("src", "dst")
+    return seen.agg(((k - F.count("*")) / k).alias("y0"), *[(F.count(F.when(F.col("state") == s, 1)) / k).alias(f"y{s}") for s in (1, 2, 3)])
 
 
 def pair_rows(model: Collection) -> DataFrame:
     """One row per pair: x1, x2, x3 (sparse designs of the states; that of 0 is empty) and y0 .. y3."""
     spark, n = model.graph.nodes.sparkSession, model.graph.n
-    from dyadspark.functions.dyads import grid
-
     empty = F.array().cast("array<struct<f:int,v:double>>")
     design = model.pair_design().groupBy("src", "dst").agg(*[F.array_sort(F.collect_list(F.when(F.col("state") == s, F.struct(F.col("f_idx").alias("f"), "v")))).alias(f"x{s}") for s in (1, 2, 3)])
-    shares = state_shares(model).groupBy("src", "dst").agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("share"))), F.lit(0.0)).alias(f"y{s}") for s in range(4)])
+    shares = state_shares(model)
     pairs = grid(spark, n, directed=False).select("src", "dst").join(design, ["src", "dst"], "left").join(shares, ["src", "dst"], "left")
     return pairs.select("src", "dst", *[F.coalesce(f"x{s}", empty).alias(f"x{s}") for s in (1, 2, 3)], F.coalesce("y0", F.lit(1.0)).alias("y0"), *[F.coalesce(f"y{s}", F.lit(0.0)).alias(f"y{s}") for s in (1, 2, 3)])
 

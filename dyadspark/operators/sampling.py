@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadspark.functions.dyads import graph_hash, index_to_pair
+from dyadspark.functions.dyads import graph_hash, index_to_pair, with_graphs
 from dyadspark.functions.rng import RANGE, draw
 from dyadspark.operators.collection import Collection
 from dyadspark.operators.metrics import AttributeSum, AttributeSumIn, AttributeSumOut, Metric, Reciprocity, TotalReciprocity, Triangles
@@ -16,17 +16,15 @@ from dyadspark.spec import Proposal
 
 def sample_independent(probabilities: DataFrame, count: int, seed: int, first: int = 0) -> DataFrame:
     """Edges of count graphs: graph_id, src, dst. probabilities: src, dst, p; dyads without p stay off."""
-    ids = probabilities.sparkSession.range(first, first + count).select(F.col("id").alias("graph_id"))
-    cells = ids.join(F.broadcast(probabilities.select("src", "dst", "p")))
+    cells = with_graphs(probabilities.select("src", "dst", "p"), count, first)
     return cells.where(draw(seed, F.col("graph_id"), F.col("src"), F.col("dst")) < F.col("p") * RANGE).select("graph_id", "src", "dst")
 
 
 def sample_dyads(pairs: DataFrame, count: int, seed: int, first: int = 0) -> DataFrame:
     """Edges of count graphs from state probabilities p0 .. p3 of pairs; one draw decides a pair."""
-    ids = pairs.sparkSession.range(first, first + count).select(F.col("id").alias("graph_id"))
     u = draw(seed, F.col("graph_id"), F.col("src"), F.col("dst"))
     state = F.when(F.col("u") < F.col("p0") * RANGE, 0).when(F.col("u") < (F.col("p0") + F.col("p1")) * RANGE, 1).when(F.col("u") < (F.col("p0") + F.col("p1") + F.col("p2")) * RANGE, 2).otherwise(3)
-    drawn = ids.join(F.broadcast(pairs.select("src", "dst", "p0", "p1", "p2"))).withColumn("u", u).withColumn("state", state)
+    drawn = with_graphs(pairs.select("src", "dst", "p0", "p1", "p2"), count, first).withColumn("u", u).withColumn("state", state)
     up = drawn.where("state IN (1, 3)").select("graph_id", "src", "dst")
     return up.unionByName(drawn.where("state IN (2, 3)").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
 

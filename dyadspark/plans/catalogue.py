@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -219,9 +220,12 @@ def design_dyads(spark, d):
     return _design(spark, d)
 
 
-@query("design_slice", _TRADE, f"{_DESIGN} SELECT x.dyad_idx, y.y, x.f, round(x.v, 6) AS v FROM x JOIN y USING (dyad_idx) WHERE x.dyad_idx >= 100 AND x.dyad_idx < 180")
+@query("design_slice", _TRADE, f"{_DESIGN} SELECT CAST(x.dyad_idx // 150 AS INTEGER) AS part, x.dyad_idx, y.y, x.f, round(x.v, 6) AS v FROM x JOIN y USING (dyad_idx)")
 def design_slice(spark, d):
-    return D.slice_dyads(_design(spark, d), 100, 180)
+    """Slices that together hold all dyads."""
+    design = _design(spark, d)
+    parts = [D.slice_dyads(design, low, low + 150).withColumn("part", F.lit(low // 150)) for low in range(0, 600, 150)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("design_labels_multi", None, f"""
@@ -320,6 +324,38 @@ def dyadfit_edges_mutual_theta(spark, d):
     return _theta(GraphModel(S.trade_graph(spark, d), [M.Edges(), M.TotalReciprocity()], fix_collinearity=False))
 
 
+_QUARTERS = """
+counted AS (SELECT CAST((year(o_orderdate) - 1994) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS g, s_nationkey AS src, c_nationkey AS dst, count(*) AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2, 3),
+edges AS (SELECT g, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM counted WHERE c * (SELECT count(*) FROM counted) > (SELECT sum(c) FROM counted)),
+seen AS (SELECT g, least(src, dst) AS src, greatest(src, dst) AS dst, sum(CASE WHEN src < dst THEN 1 ELSE 2 END) AS state FROM edges GROUP BY 1, 2, 3),
+pairs AS (SELECT CAST(i AS INTEGER) AS src, CAST(j AS INTEGER) AS dst, m.g, coalesce(state, 0) AS state FROM range(32) m(g), range(25) a(i) JOIN range(25) b(j) ON i < j LEFT JOIN seen ON seen.g = m.g AND seen.src = i AND seen.dst = j)"""
+
+
+@query("mple_multi_empty_theta", _QUARTERS, "SELECT 'num_edges_directed' AS name, round(ln(m / (32 * 600.0 - m)), 5) AS theta FROM (SELECT count(*) AS m FROM edges)")
+def mple_multi_empty_theta(spark, d):
+    """A sample of graphs, the last of them without edges."""
+    return _theta(GraphModel(S.quarterly_trade(spark, d), [M.Edges()], fix_collinearity=False))
+
+
+@query("dyadfit_multi_theta", _QUARTERS, """
+, c AS (SELECT CAST(count(*) FILTER (state IN (1, 2)) AS DOUBLE) AS a, CAST(count(*) FILTER (state = 3) AS DOUBLE) AS m, CAST(count(*) FILTER (state = 0) AS DOUBLE) AS z FROM pairs)
+SELECT 'num_edges_directed' AS name, round(ln(a / (2 * z)), 5) AS theta FROM c UNION ALL SELECT 'total_reciprocity', round(ln(m / z) - 2 * ln(a / (2 * z)), 5) FROM c""")
+def dyadfit_multi_theta(spark, d):
+    return _theta(GraphModel(S.quarterly_trade(spark, d), [M.Edges(), M.TotalReciprocity()], fix_collinearity=False))
+
+
+@query("pair_labels_multi", _QUARTERS, f"SELECT src, dst, {', '.join(f'round(count(*) FILTER (state = {s}) / 32.0, 9) AS y{s}' for s in range(4))} FROM pairs GROUP BY src, dst")
+def pair_labels_multi(spark, d):
+    """Shares of all quarters in which a pair is in each state."""
+    rows = fit.pair_rows(Collection([M.Edges(), M.TotalReciprocity()], S.quarterly_trade(spark, d)))
+    return rows.select("src", "dst", *[F.round(f"y{s}", 9).alias(f"y{s}") for s in range(4)])
+
+
+@query("states_multi", _QUARTERS, "SELECT g AS graph_id, src, dst, CAST(state AS INTEGER) AS state FROM pairs")
+def states_multi(spark, d):
+    return D.dyad_states(S.quarterly_trade(spark, d)).select("graph_id", "src", "dst", "state")
+
+
 @query("mple_degree_newton", _FOLLOW, "SELECT CAST(node AS INTEGER) AS node, CAST(count(src) AS DOUBLE) AS expected FROM nodes LEFT JOIN edges ON src = node GROUP BY node")
 def mple_degree_newton(spark, d):
     """At the optimum of the out-degree model, expected degrees are the observed ones."""
@@ -352,11 +388,11 @@ def predict_fixed_theta(spark, d):
     return _fixed(spark, d).predict().select("dyad_idx", F.round("p", 9).alias("p"))
 
 
-@query("predict_matrix", _TRADE, f"SELECT src, round(sum(CASE WHEN dst = 0 THEN {_P} END), 9) AS c0, round(sum(CASE WHEN dst = 1 THEN {_P} END), 9) AS c1, round(sum(CASE WHEN dst = 2 THEN {_P} END), 9) AS c2 FROM y GROUP BY src")
+@query("predict_matrix", _TRADE, f"SELECT src, {', '.join(f'round(sum(CASE WHEN dst = {k} THEN {_P} END), 9) AS c{k}' for k in range(25))} FROM y GROUP BY src")
 def predict_matrix(spark, d):
-    """Three columns of the matrix form; the diagonal is null."""
-    wide = _fixed(spark, d).predict().groupBy("src").pivot("dst", [0, 1, 2]).agg(F.round(F.sum("p"), 9))
-    return wide.select("src", *[F.col(str(k)).alias(f"c{k}") for k in range(3)])
+    """The matrix form; the diagonal is null."""
+    wide = _fixed(spark, d).predict().groupBy("src").pivot("dst", list(range(25))).agg(F.round(F.sum("p"), 9))
+    return wide.select("src", *[F.col(str(k)).alias(f"c{k}") for k in range(25)])
 
 
 @query("loglik_fixed_theta", _TRADE, f"SELECT round(sum(y * ln({_P}) + (1 - y) * ln(1 - {_P})), 6) AS log_likelihood FROM y")

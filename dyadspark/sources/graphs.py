@@ -24,8 +24,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def graph_from_edges(spark: SparkSession, n: int, edges: Sequence[tuple[int, ...]], directed: bool = True, types: Sequence[str] | None = None, attrs: Sequence[float] | None = None, positions: Sequence[Sequence[float] | float] | None = None) -> Graph:
-    """From (src, dst) or (graph_id, src, dst); loops go, repeated edges count once."""
+def graph_from_edges(spark: SparkSession, n: int, edges: Sequence[tuple[int, ...]], directed: bool = True, types: Sequence[str] | None = None, attrs: Sequence[float] | None = None, positions: Sequence[Sequence[float] | float] | None = None, count: int | None = None) -> Graph:
+    """From (src, dst) or (graph_id, src, dst); loops go, repeated edges count once. count: graphs, if the last ones have no edges."""
     for name, given in (("types", types), ("attrs", attrs), ("positions", positions)):
         if given is not None and len(given) != n:
             raise ValueError(f"{name} must be given for all {n} nodes")
@@ -35,7 +35,9 @@ def graph_from_edges(spark: SparkSession, n: int, edges: Sequence[tuple[int, ...
     if any(not (0 <= s < n and 0 <= d < n) for _, s, d in rows):
         raise ValueError(f"edges must join nodes 0 to {n - 1}")
     rows = {(g, s, d) if directed or s < d else (g, d, s) for g, s, d in rows if s != d}
-    return Graph(nodes, spark.createDataFrame(sorted(rows), EDGE_SCHEMA), n, directed)
+    if count is not None and any(g >= count for g, _, _ in rows):
+        raise ValueError(f"edges of more than {count} graphs")
+    return Graph(nodes, spark.createDataFrame(sorted(rows), EDGE_SCHEMA), n, directed, count=count)
 
 
 def graph_from_matrices(spark: SparkSession, matrices: Sequence[Sequence[Sequence[int]]], directed: bool = True, **attributes) -> Graph:
@@ -49,7 +51,7 @@ def graph_from_matrices(spark: SparkSession, matrices: Sequence[Sequence[Sequenc
         if not directed and any(m[i][j] != m[j][i] for i in range(n) for j in range(i)):
             raise ValueError("an undirected graph needs a symmetric matrix")
     edges = [(g, i, j) for g, m in enumerate(matrices) for i in range(n) for j in range(n) if i != j and m[i][j]]
-    return graph_from_edges(spark, n, edges, directed, **attributes)
+    return graph_from_edges(spark, n, edges, directed, count=len(matrices), **attributes)
 
 
 def monastery(spark: SparkSession, directed: bool = True) -> Graph:
@@ -83,7 +85,24 @@ def trade_graph(spark: SparkSession, sf_dir: str, directed: bool = True) -> Grap
     edges = _above_average(pairs)
     if not directed:
         edges = edges.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return Graph(nation_nodes(spark, sf_dir), edges, 25, directed)
+    return Graph(nation_nodes(spark, sf_dir), edges, 25, directed, count=1)
+
+
+def quarterly_trade(spark: SparkSession, sf_dir: str, quarters: int = 32) -> Graph:
+    """A graph for each quarter from January 1994 on: nation to nation where more lines than the mean of pairs and quarters were shipped.
+
+    Quarters without orders are graphs without edges.
+    """
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
+    quarter = (F.year("o_orderdate") - 1994) * 4 + F.quarter("o_orderdate") - 1
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", quarter.cast("long").alias("graph_id")).join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "dst", "graph_id")
+    sold = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where(f"src <> dst AND graph_id >= 0 AND graph_id < {quarters}")
+    counted = sold.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("c"))
+    total = counted.agg(F.count("*").alias("pairs"), F.sum("c").alias("total"))
+    edges = counted.join(F.broadcast(total)).where("c * pairs > total").select("graph_id", F.col("src").cast("int"), F.col("dst").cast("int"))
+    return Graph(nation_nodes(spark, sf_dir), edges, 25, True, count=quarters)
 
 
 def follow_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -94,7 +113,7 @@ def follow_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = steps.where("src <> dst").distinct().select(F.lit(0).cast("long").alias("graph_id"), "src", "dst")
     nodes = events.select(F.col("user_id").cast("int").alias("node")).distinct().select("node", F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("attr"), F.lit(None).cast("array<double>").alias("pos"))
     n = (events.agg(F.max("user_id")).first()[0] or -1) + 1
-    return Graph(nodes, edges, int(n), True)
+    return Graph(nodes, edges, int(n), True, count=1)
 
 
 def cosupply_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -105,15 +124,17 @@ def cosupply_graph(spark: SparkSession, sf_dir: str) -> Graph:
     supplier = _read(spark, sf_dir, "supplier")
     nodes = supplier.select(F.col("s_suppkey").cast("int").alias("node"), F.col("s_nationkey").cast("string").alias("type"), F.col("s_acctbal").alias("attr"), F.lit(None).cast("array<double>").alias("pos"))
     n = (supplier.agg(F.max("s_suppkey")).first()[0] or -1) + 1
-    return Graph(nodes, _above_average(pairs), int(n), False)
+    return Graph(nodes, _above_average(pairs), int(n), False, count=1)
 
 
 def read_graph(spark: SparkSession, path: str, directed: bool = True) -> Graph:
     """A graph that write_graph() left."""
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
-    return Graph(nodes, spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"), nodes.count(), directed)
+    shape = spark.read.parquet(f"{path}/shape").first()
+    return Graph(nodes, spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"), shape["n"], directed, count=shape["graphs"])
 
 
 def write_graph(graph: Graph, path: str) -> None:
     graph.nodes.select("node", "type", "attr", "pos").write.mode("overwrite").parquet(f"{path}/nodes")
     graph.edges.select("graph_id", "src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+    graph.nodes.sparkSession.createDataFrame([(graph.n, graph.graphs)], "n int, graphs int").write.mode("overwrite").parquet(f"{path}/shape")

@@ -51,13 +51,6 @@ class Reduction(StrEnum):
     NONE = "none"
 
 
-class DyadState(StrEnum):
-    EMPTY = "0"
-    UPPER = "1"
-    LOWER = "2"
-    RECIPROCAL = "3"
-
-
 @dataclass(frozen=True)
 class FitResult:
     success: bool
@@ -71,7 +64,8 @@ class Graph:
 
     nodes: node (0 .. n-1), type, attr, pos. edges: graph_id, src, dst, one row for each edge, of an
     undirected graph with src < dst. mask: the dyads (src, dst) that count, or None for all.
-    weights: src, dst, w of dyads whose weight in a fit is not 1.
+    weights: src, dst, w of dyads whose weight in a fit is not 1. count: how many graphs there are,
+    numbered from 0, those without edges included; if None, as many as the largest graph_id tells.
     """
 
     nodes: DataFrame
@@ -80,13 +74,19 @@ class Graph:
     directed: bool = True
     mask: DataFrame | None = None
     weights: DataFrame | None = None
+    count: int | None = None
 
     def but(self, **changes) -> Graph:
+        """A copy with changes. Other edges are those of an unknown number of graphs, unless count is given."""
+        if "edges" in changes:
+            changes.setdefault("count", None)
         return replace(self, **changes)
 
     @property
     def graphs(self) -> int:
-        """How many graphs there are; a graph without edges counts if a later one has some."""
+        """How many graphs there are; where count does not say so, a graph without edges counts if a later one has some."""
+        if self.count is not None:
+            return self.count
         top = self.edges.agg(F.max("graph_id")).first()[0]
         return 1 if top is None else int(top) + 1
 
