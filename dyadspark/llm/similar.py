@@ -4,8 +4,9 @@ SimHash finds the candidates, an exact comparison decides. A document's sketch i
 several words and a few seeds, the least of its shingles in as many orders. Documents that share a
 seed meet in a bucket, where those that share more seeds are looked up in BK-trees if it is large;
 what lies within the radius is a candidate. The candidates' connected groups are small, and there
-the shingles themselves are compared. Copies with the same set of shingles count as one throughout,
-and groups give back spanning forests.
+the shingles themselves, as 64-bit hashes, are compared for all that share a seed. Copies with the
+same set of shingles, by a hash of 128 bits, count as one throughout, and groups give back spanning
+forests.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from dyadspark.llm.components import connected_components
 from dyadspark.llm.exact_dedup import maybe_repeated, repeated_cells
 from dyadspark.llm.simhash import Forest, bucket_links, deal, majority, shingle_hashes, spanning, whole_groups
 
-#: 64-bit words of a fingerprint, and seeds: two documents with four fifths in common share no seed in 0.2 ** 8 of cases.
-WORDS, SEEDS = 4, 8
+#: 64-bit words of a fingerprint, and seeds: of two documents with four fifths in common, all but one in 200,000 pairs share three seeds or more.
+WORDS, SEEDS = 4, 12
+#: Deviations that the radius allows for: one link in a million at the similarity itself lies beyond it.
+DEVIATIONS = 5
 #: A bucket of more documents is parted by further seeds, as long as that makes it smaller.
 LEAF = 256
 #: A group of candidates with more documents, or more shingles in all, is cut up before it is compared.
@@ -42,38 +45,38 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, list[int], list[int], bytes]:
-    """Node (a hash of the set of shingles), fingerprint words, seeds, and the set as sorted 32-bit hashes."""
+def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int], bytes]:
+    """A hash of the set of shingles, fingerprint words, seeds, and the set as sorted 64-bit hashes."""
     h = np.unique(shingle_hashes(text, shingle))
     if not len(h):
-        return 0, [0] * WORDS, [0] * SEEDS, b""
+        return bytes(16), [0] * WORDS, [0] * SEEDS, b""
     words = [int(np.packbits(majority(_mixed(h, k + 1))).view(">i8")[0]) for k in range(WORDS)]
     seeds = [int(_mixed(h, WORDS + k + 1).min().view(np.int64)) for k in range(SEEDS)]
-    short = (h >> np.uint64(32)).astype("<u4")
-    short = short[np.concatenate(([True], short[1:] != short[:-1]))]
-    return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), dtype=np.uint64).view(np.int64)), words, seeds, short.tobytes()
+    whole = h.astype("<u8").tobytes()
+    return xxhash.xxh3_128_digest(whole), words, seeds, whole
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, node, size, f0.., s0.., shingles of every row; a null text is empty."""
-    names = ["node", "size", *[f"f{k}" for k in range(WORDS)], *[f"s{k}" for k in range(SEEDS)]]
+    """doc_id, text_hash, set_hash, size, f0.., s0.., shingles of every row; a null text is empty."""
+    names = ["size", *[f"f{k}" for k in range(WORDS)], *[f"s{k}" for k in range(SEEDS)]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_held()
         for batch in batches:
             found = [sketch(t.as_py() or b"", shingle) for t in batch.column(2)]
-            longs = np.array([[node, len(short) // 4, *words, *seeds] for node, words, seeds, short in found], dtype=np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(longs[:, k]) for k in range(len(names))], pa.array([x[3] for x in found], pa.binary())], names=["doc_id", "text_hash", *names, "shingles"])
+            longs = np.array([[len(whole) // 8, *words, *seeds] for _, words, seeds, whole in found], dtype=np.int64).reshape(-1, len(names))
+            ends = [pa.array([x[k] for x in found], pa.binary()) for k in (0, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(longs[:, k]) for k in range(len(names))], *ends], names=["doc_id", "text_hash", *names, "set_hash", "shingles"])
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return chosen.mapInArrow(rows, ", ".join(f"{n} long" for n in ["doc_id", "text_hash", *names]) + ", shingles binary")
+    return chosen.mapInArrow(rows, ", ".join(f"{n} long" for n in ["doc_id", "text_hash", *names]) + ", set_hash binary, shingles binary")
 
 
 def leaves(bucket: np.ndarray, seeds: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows, and the leaf that each is in, ascending. A row may be in several leaves; one that is alone is in none.
 
-    bucket: its number by row; seeds: rows x SEEDS; last: the seed that made the bucket. A large
+    bucket: its number by row; seeds: rows x seeds; last: the seed that made the bucket. A large
     bucket is parted by each later seed, and what is still large once more; one that a seed leaves
     mostly whole holds copies and is a leaf. In large ones without a later seed, documents that share
     another seed have met before.
@@ -92,9 +95,9 @@ def leaves(bucket: np.ndarray, seeds: np.ndarray, last: np.ndarray) -> tuple[np.
         if not large.any():
             break
         parts = []
-        for k in range(1, SEEDS):
+        for k in range(1, seeds.shape[1]):
             some = np.flatnonzero(large & (at < k))
-            key = _mixed((group[some] * SEEDS + k).view(np.uint64), 0) ^ seeds[row[some], k].astype(np.uint64)
+            key = _mixed((group[some] * seeds.shape[1] + k).view(np.uint64), 0) ^ seeds[row[some], k].astype(np.uint64)
             _, inner, n = np.unique(key, return_inverse=True, return_counts=True)
             parts.append((row[some], group[some], np.full(len(some), k), key, n[inner], 2 * n[inner] > size[some]))
         row_, parent, at_, key, n, most = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -127,9 +130,10 @@ def _near(radius: int):
     return rows
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def similar_pairs(sets: list[np.ndarray], similarity: float, seeds: np.ndarray | None = None) -> np.ndarray:
     """The smallest member that each set reaches over pairs with a Jaccard similarity of at least similarity.
 
+    seeds: a row for each set; if given, only sets that share one are compared.
     A set is marked in the group's vocabulary and counted out against those that it isn't tied to
     yet; the sets whose shingles are the most common in the group come first, as they tie the most.
     """
@@ -150,6 +154,8 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         later = order[step + 1 :]
         open_ = later[(root[later] != root[i]) & filled[later]]
         open_ = open_[np.minimum(sizes[open_], sizes[i]) + 1e-9 >= similarity * np.maximum(sizes[open_], sizes[i])]
+        if seeds is not None:
+            open_ = open_[(seeds[open_] == seeds[i]).any(axis=1)]
         if not len(open_) or not sizes[i]:
             continue
         mine = ids[starts[i] : starts[i] + sizes[i]]
@@ -170,18 +176,19 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _exact(similarity: float):
-    """Rows (bucket, node, shingles), sorted by bucket, to edges (a, b)."""
+    """Rows (bucket, node, shingles, packed seeds), sorted by bucket, to edges (a, b). What shares no seed is not compared, in buckets of any size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1 << 10):
             bucket, node = table.column(0).to_numpy(), table.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             shingles = table.column(2)
+            seeds = np.stack([table.column(k).to_numpy() for k in range(3, table.num_columns)], axis=1).view("<u4")
             a, b = [], []
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if high - low > 1:
                     mine = node[low:high]
-                    root = similar_pairs([np.frombuffer(x.as_py(), dtype="<u4") for x in shingles.slice(low, high - low)], similarity)
+                    root = similar_pairs([np.frombuffer(x.as_py(), dtype="<u8") for x in shingles.slice(low, high - low)], similarity, seeds[low:high])
                     tied = root != np.arange(high - low)
                     a.append(mine[tied])
                     b.append(mine[root[tied]])
@@ -200,7 +207,7 @@ def _differs(common: int, own: int, other: int) -> float:
 
 
 def candidate_radius(similarity: float) -> int:
-    """Bits in which the fingerprints of two sets so similar differ at most: the expected ones and four deviations.
+    """Bits in which the fingerprints of two sets so similar differ at most: the expected ones and DEVIATIONS deviations.
 
     A bit of large sets differs with the share of the angle between them. In small ones it does more
     often, the most in about the smallest that can be so similar without being equal.
@@ -211,37 +218,38 @@ def candidate_radius(similarity: float) -> int:
         for union in range(least, 3 * least + 1):
             for common in range(math.ceil(similarity * union - 1e-9), union):
                 share = max(share, *[_differs(common, own, union - common - own) for own in range((union - common) // 2 + 1)])
-    return math.ceil(64 * WORDS * (share + 4 * math.sqrt(share * (1 - share) / (64 * WORDS))))
+    return math.ceil(64 * WORDS * (share + DEVIATIONS * math.sqrt(share * (1 - share) / (64 * WORDS))))
 
 
 def similar_links(table: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes that join all whose sets are similar. table: sketches(), written, with a column row."""
+    """Edges (a, b) that join all whose sets are similar, each set by the least row that has it. table: sketches(), written, with a column row."""
     words, seeds = [f"f{k}" for k in range(WORDS)], [f"s{k}" for k in range(SEEDS)]
-    nodes = written(table.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in words + seeds]), "shingle-sets")
+    nodes = written(table.groupBy("set_hash").agg(F.min("row").alias("node"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in words + seeds]).drop("set_hash"), "shingle-sets")
     total = nodes.count()
+    packs = [f"p{k}" for k in range(0, SEEDS, 2)]
     packed = [F.shiftleft(seeds[k + 1], 32).bitwiseOR(F.col(seeds[k]).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"p{k}") for k in range(0, SEEDS, 2)]
     dealt = nodes.select(F.posexplode(F.array(*[F.xxhash64(F.lit(k), s) for k, s in enumerate(seeds)])).alias("last", "cell"), "node", *words, *packed)
-    columns = ["cell", "node", *words, *[f"p{k}" for k in range(0, SEEDS, 2)], F.col("last").cast("long")]
+    columns = ["cell", "node", *words, *packs, F.col("last").cast("long")]
     links = bucket_links(dealt.select(*columns), _near(candidate_radius(similarity)), total * SEEDS, BUCKET_LIMIT)
     parts = connected_components(written(links, "candidate-links"), "candidates")
-    held = written(nodes.join(parts, "node").select("node", "row", "size", "component", *seeds), "candidate-nodes")
+    held = written(nodes.join(parts, "node").select("node", "size", "component", *seeds, *packed), "candidate-nodes")
     sizes = written(held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "candidate-groups")
     big = sizes.where((F.col("n") > GROUP_DOCS) | (F.col("shingles") > GROUP_SHINGLES)).select("component", F.col("n").alias("members"))
     if big.isEmpty():
-        keyed = held.select(F.col("component").alias("bucket"), "node", "row")
+        keyed = held.select(F.col("component").alias("bucket"), "node", *packs)
     else:
         # in a large group, documents that share a seed are compared
         marked = join_groups(held, big, "component", "members", total)
-        few = marked.where("members IS NULL").select(F.col("component").alias("bucket"), "node", "row")
-        many = marked.where("members IS NOT NULL").select(F.explode(F.array(*[F.xxhash64("component", F.lit(k), s) for k, s in enumerate(seeds)])).alias("cell"), "node", "row", "size")
+        few = marked.where("members IS NULL").select(F.col("component").alias("bucket"), "node", *packs)
+        many = marked.where("members IS NOT NULL").select(F.explode(F.array(*[F.xxhash64("component", F.lit(k), s) for k, s in enumerate(seeds)])).alias("cell"), "node", "size", *packs)
         counts = many.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
         shards = F.ceil(2 * F.greatest(F.col("n") / GROUP_DOCS, F.col("shingles") / GROUP_SHINGLES)).cast("int")
         large = written(counts.where((F.col("n") > GROUP_DOCS) | (F.col("shingles") > GROUP_SHINGLES)).select("cell", "n", shards.alias("shards")), "large-groups")
         keyed = few.unionByName(deal(many.drop("size"), large, total * SEEDS))
     keyed = written(keyed, "candidate-buckets")
     # only the sets of candidates, and a few more, are shuffled
-    test = maybe_repeated(table.sparkSession, *repeated_cells(keyed.select(F.xxhash64("row").alias("h")), "h", keyed.count(), 1))
-    sets = table.select("row", "shingles").where(test(F.xxhash64("row"))).join(keyed.hint("merge"), "row").select("bucket", "node", "shingles")
+    test = maybe_repeated(table.sparkSession, *repeated_cells(keyed.select(F.xxhash64("node").alias("h")), "h", keyed.count(), 1))
+    sets = table.select(F.col("row").alias("node"), "shingles").where(test(F.xxhash64("row"))).join(keyed.hint("merge"), "node").select("bucket", "node", "shingles", *packs)
     return sets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_exact(similarity), "a long, b long").distinct()
 
 
@@ -252,18 +260,19 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     shingle: the whole text) have a Jaccard similarity of at least similarity; component_id is the
     smallest id that links reach, null where no document of the class has one. Documents without
     words are alike. A link is missed where two documents share too few seeds (none; where a bucket is
-    large, one or two) or their fingerprints lie beyond four deviations of the most that
-    sets of any size differ: at the similarity itself in less than one of ten thousand in small
-    buckets and one of a thousand in the largest, fewer above it.
+    large, one or two of twelve) or their fingerprints lie beyond five deviations of the most that
+    sets of any size differ: at the similarity itself in about one of 100,000, fewer above it.
+    Null and empty texts are alike; rows that repeat an id or a text each give a row; texts are read
+    whole, however long; an empty table gives no rows; other columns are ignored.
     """
     table = written(sketches(docs, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     parts = connected_components(written(similar_links(table, similarity), "similar-links"), "similar")
-    groups = written(table.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "set-rows")
-    classes = written(groups.join(parts, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("component")), "set-classes")
+    groups = written(table.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "set-rows")
+    classes = written(groups.join(parts, "node", "left").select("set_hash", "first_id", "n", F.coalesce("component", "node").alias("component")), "set-classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     named = join_groups(classes, written(least, "set-ids"), "component", "members", groups.count(), "inner")
-    answers = written(named.select("node", "component_id", "n"), "set-answers")
-    return join_groups(table.select("doc_id", "text_hash", "node"), answers, "node", "n", table.count(), "inner").select("doc_id", "text_hash", "component_id")
+    answers = written(named.select("set_hash", "component_id", "n"), "set-answers")
+    return join_groups(table.select("doc_id", "text_hash", "set_hash"), answers, "set_hash", "n", table.count(), "inner").select("doc_id", "text_hash", "component_id")
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,6 +85,17 @@ def test_short_texts_meet_texts_of_one_word_more(spark):
     assert got == {i: i - i % 2 for i in range(1000)}
 
 
+def test_links_in_large_buckets(spark):
+    """Thousands of documents share a passage, and with it seeds; hundreds of near copies among them are found, and nothing else is tied."""
+    passage = " ".join(f"common{w}" for w in range(60))
+    docs = [(k, f"{passage} " + " ".join(f"own{k}w{w}" for w in range(45))) for k in range(6000)]
+    # 101 shingles of which 90 stay: a similarity of 90 in 112
+    copies = [(10_000 + k, " ".join(f"new{k}w{w}" if 94 <= w < 95 or 100 <= w < 101 else x for w, x in enumerate(docs[k][1].split()))) for k in range(0, 6000, 10)]
+    assert 0.8 <= min(len(shingles(docs[k - 10_000][1]) & shingles(t)) / len(shingles(docs[k - 10_000][1]) | shingles(t)) for k, t in copies[:20]) < 0.83
+    got = {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame(docs + copies, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i if i < 10_000 else i - 10_000 for i, _ in docs + copies}
+
+
 def test_the_radius_holds_for_sets_of_all_sizes():
     for union in (5, 6, 10, 15, 25, 40):
         for own in range(union // 5 + 1):
