@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects documents whose measure lies beyond a cutoff. Per stratum (language), cutoffs are
-tried from the most lenient on against labelled good documents. A cutoff is taken if, at the level
-left by Bonferroni's correction over strata and rules, an exact binomial test shows that it rejects
-less than the rule's share of max_risk; the first one that fails ends the search (fixed-sequence
-testing), so that trying many costs nothing. With too few labels nothing is rejected.
+Each rule rejects documents whose measure lies beyond a cutoff. A path, fixed beforehand, leads from
+no rule to all rules at their strictest, tightening one rule a step by turns. Per stratum (language)
+it is walked against labelled good documents as long as, at the level left by Bonferroni's
+correction over strata, an exact binomial test shows that all rules together reject less than
+max_risk of good documents; the first step that fails ends the walk (fixed-sequence testing), so
+that trying many steps costs nothing, and neither risk nor error is split over rules. With too few
+labels nothing is rejected. What the base rules reject is given and not within the bound.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "long_words": ("word_chars", "n_words", (40_000, 30_000, 25_000, 20_000)),
 }
 
+#: The path: what each step tightens to which cutoff.
+PATH: list[tuple[str, int]] = [(rule, grid[k]) for k in range(max(len(g) for _, _, g in RULES.values())) for rule, (_, _, grid) in RULES.items() if k < len(grid)]
+
 
 def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
@@ -71,42 +76,51 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, max_risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """One row per stratum: stratum and, by rule, the strictest proven cutoff or null.
+def reject_step() -> Column:
+    """The first step of the path (from 1) that rejects a document; null if none does."""
+    by_rule = []
+    for rule in RULES:
+        found = F.lit(None).cast("int")
+        for step in reversed([k + 1 for k, (r, _) in enumerate(PATH) if r == rule]):
+            found = F.when(_beyond(rule, F.lit(PATH[step - 1][1])), step).otherwise(found)
+        by_rule.append(found)
+    return F.least(*by_rule)
+
 
-    labels: doc_id, quality (1: good). The chance that the cutoffs of any stratum reject max_risk or
-    more of its good documents, all rules together, is at most error. Strata without labels have no row.
+def proven_steps(found: DataFrame, labels: DataFrame, max_risk: float = 0.05, error: float = 0.05) -> DataFrame:
+    """One row per stratum with labels: stratum, n (good documents) and proven, the last step of the path that is proven, or 0.
+
+    labels: doc_id, quality (1: good). The chance that in any stratum the rules as of its proven
+    step reject max_risk or more of all good documents is at most error.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = found.join(good, "doc_id", "left_semi")
-    names = [(rule, k, c) for rule, (_, _, grid) in RULES.items() for k, c in enumerate(grid)]
-    counts = written(held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(_beyond(rule, F.lit(c)).cast("long")).alias(f"{rule}_{k}") for rule, k, c in names]), "quality-counts")
-    level = error / (max(1, counts.count()) * len(RULES))
+    held = found.join(good, "doc_id", "left_semi").select("stratum", reject_step().alias("step"))
+    counts = written(held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("step") <= k + 1, 1)).alias(f"bad{k + 1}") for k in range(len(PATH))]), "quality-counts")
+    level = error / max(1, counts.count())
+    failed = F.lit(None).cast("int")
+    for k in range(len(PATH), 0, -1):
+        failed = F.when(binomial_tail(F.col("n"), F.col(f"bad{k}"), max_risk) > level, k).otherwise(failed)
+    return counts.select("stratum", "n", (F.coalesce(failed, F.lit(len(PATH) + 1)) - 1).alias("proven"))
 
-    def strictest(rule: str) -> Column:
-        grid = RULES[rule][2]
-        failed = [binomial_tail(F.col("n"), F.col(f"{rule}_{k}"), max_risk / len(RULES)) > level for k in range(len(grid))]
-        out = F.when(failed[0], F.lit(None).cast("int"))
-        for k in range(1, len(grid)):
-            out = out.when(failed[k], F.lit(grid[k - 1]))
-        return out.otherwise(F.lit(grid[-1]))
 
-    return counts.select("stratum", *[strictest(rule).alias(rule) for rule in RULES])
+def cutoffs_at(step: int) -> dict[str, int]:
+    """The rules' cutoffs as of a step of the path."""
+    return dict(PATH[:step])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, max_risk: float = 0.05, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ....
 
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. Documents of a
-    stratum without labels, null strata included, are judged by the base rules alone.
+    stratum without labels, null strata included, are judged by the base rules alone. Null and empty
+    texts have no words; rows that repeat an id each give a row; an empty table gives no rows; texts
+    are read whole, and other columns ignored.
     """
     found = written(measures(docs, id_col, text_col, stratum_col), "quality-measures")
-    chosen = written(cutoffs(found, labels, max_risk, error), "quality-cutoffs")
+    chosen = written(proven_steps(found, labels, max_risk, error), "quality-steps")
     joined = found.alias("d").join(chosen.alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected = rejected | F.coalesce(_beyond(rule, F.col(rule)), F.lit(False))
+    rejected = F.coalesce(reject_step() <= F.col("proven"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), "d.stratum", "n_lines", "n_shouts")
 
 
@@ -115,7 +129,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-_GRID = ", ".join(f"('{rule}', {k}, {c})" for rule, (_, _, grid) in RULES.items() for k, c in enumerate(grid))
+_GRID = ", ".join(f"({k + 1}, '{rule}', {c})" for k, (rule, c) in enumerate(PATH))
 _LONG = " UNION ALL ".join(f"SELECT rid, doc_id, stratum, '{rule}' AS rule, {over} AS over, {under} AS under FROM measured" for rule, (over, under, _) in RULES.items())
 OP9_SQL = rf"""
 WITH base AS (
@@ -136,19 +150,19 @@ WITH base AS (
 ), long AS (
   {_LONG}
 ), grid AS (
-  SELECT * FROM (VALUES {_GRID}) g(rule, k, c)
+  SELECT * FROM (VALUES {_GRID}) g(step, rule, c)
+), steps AS (
+  SELECT rid, any_value(doc_id) AS doc_id, any_value(stratum) AS stratum, min(step) FILTER (under > 0 AND over * 1000 > c * under) AS first_step FROM long JOIN grid USING (rule) GROUP BY rid
+), good AS (
+  SELECT stratum, first_step FROM steps WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
 ), counts AS (
-  SELECT stratum, rule, k, c, count(*) AS n, count(*) FILTER (under > 0 AND over * 1000 > c * under) AS bad
-  FROM long JOIN grid USING (rule) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum, rule, k, c
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (first_step <= step) AS bad FROM good, grid GROUP BY stratum, step
 ), tails AS (
-  SELECT *, CASE WHEN bad > n * 0.01 THEN 1.0 ELSE list_sum(list_transform(range(bad + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) END AS tail FROM counts
-), failed AS (
-  SELECT stratum, rule, coalesce(min(k) FILTER (tail > 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts)) * {len(RULES)})), 1000) AS first_bad FROM tails GROUP BY stratum, rule
+  SELECT *, CASE WHEN bad > n * 0.05 THEN 1.0 ELSE list_sum(list_transform(range(bad + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(0.95)))) END AS tail FROM counts
 ), chosen AS (
-  SELECT stratum, rule, max(c ORDER BY k DESC) FILTER (k = first_bad - 1 OR (first_bad = 1000 AND k = last_k)) AS cutoff
-  FROM (SELECT t.*, f.first_bad, max(t.k) OVER (PARTITION BY t.rule) AS last_k FROM tails t JOIN failed f ON t.rule = f.rule AND t.stratum IS NOT DISTINCT FROM f.stratum) GROUP BY stratum, rule
+  SELECT stratum, coalesce(min(step) FILTER (tail > 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts))), {len(PATH)} + 1) - 1 AS proven FROM tails GROUP BY stratum
 ), verdicts AS (
-  SELECT rid, bool_or(coalesce(under > 0 AND over * 1000 > cutoff * under, FALSE)) AS rejected FROM long l LEFT JOIN chosen c ON l.rule = c.rule AND l.stratum IS NOT DISTINCT FROM c.stratum GROUP BY rid
+  SELECT rid, coalesce(first_step <= proven, FALSE) AS rejected FROM steps s LEFT JOIN chosen c ON s.stratum IS NOT DISTINCT FROM c.stratum
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured JOIN verdicts USING (rid)
 )
