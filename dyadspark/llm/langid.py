@@ -22,10 +22,9 @@ from dyadspark.llm.common import drop_held
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-#: The training sample: about so many documents of each language, at most twice that in all, and windows of each.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 400, 4
-#: The most frequent languages are learned.
-MAX_LANGUAGES = 200
+#: The training sample: about so many documents of each language, at most twice that in all, and windows of each;
+#: fewer of each where there are so many languages that this would pass TRAINING_DOCS. Every language is learned.
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, TRAINING_DOCS = 400, 4, 80_000
 _PAD = max(WIDTHS) - 1
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
 
@@ -153,16 +152,17 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     The sample is drawn by a hash of id and text, language by language, in one pass over the rows.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
-    rate = docs.sparkSession.createDataFrame([(r["label"], min(1.0, DOCS_PER_LANGUAGE / r["n"])) for r in counts], "label string, rate double")
+    each = max(1, min(DOCS_PER_LANGUAGE, TRAINING_DOCS // len(counts)))
+    rate = docs.sparkSession.createDataFrame([(r["label"], min(1.0, each / r["n"])) for r in counts], "label string, rate double")
     text = F.col(text_col).cast("string")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_col)), 11) / float(1 << 53)
     spot = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), F.greatest(F.length(text) - WINDOW // 2, F.lit(1)))
     cut = F.array(*[F.substr(text, (spot(k) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)])
     drawn = known.select(F.col(label_col).cast("string").alias("label"), cut.alias("windows"), draw.alias("draw"), F.xxhash64(text).alias("tie")).join(F.broadcast(rate), "label").where("draw < rate")
-    rows = drawn.orderBy("draw", "tie", "label").limit(2 * DOCS_PER_LANGUAGE * len(counts)).select("label", "windows").collect()
+    rows = drawn.orderBy("draw", "tie", "label").limit(2 * each * len(counts)).select("label", "windows").collect()
     pairs = [(w.encode(), r["label"]) for r in rows for w in dict.fromkeys(r["windows"]) if w]
     return train([w for w, _ in pairs], [label for _, label in pairs]) if pairs else None
 
@@ -200,7 +200,12 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", keep:
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    Null texts and those without a letter are und; a null id is not held out and not learned from;
+    rows that repeat an id or a text each give a row; texts are read whole, however long; an empty
+    table gives no rows; other columns are ignored.
+    """
     net = train_on(docs, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return identify(rows, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

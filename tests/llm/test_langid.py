@@ -88,6 +88,37 @@ def test_tables_give_what_the_layers_give():
     assert np.allclose(got, [plain_scores(net, w) for w in windows], atol=1e-4)
 
 
+def test_query_gives_what_the_layers_give(spark, tmp_path):
+    """Every row of the query, repeated ones and very long texts too, by the plain layers over all windows."""
+    docs = [*corpus(80), (5, text_in("xa", 5), "xa", "s", 1), (5, text_in("xa", 5), "xa", "s", 1), (500, text_in("zc", 9, 3000), "zc", "s", 1), *awkward_docs()[:9]]
+    folder = save(tmp_path, documents=docs)
+    net = train_on(spark.read.parquet(f"{folder}/documents.parquet"))
+
+    def plain(text):
+        data = (text or "").encode()
+        if not any(map(str.isalpha, text or "")):
+            return UNKNOWN, 0.0
+        windows = [data[k : k + WINDOW] for k in range(0, len(data), WINDOW)]
+        mean = sum(len(w) * np.log(plain_scores(net, w)) for w in windows) / len(data)
+        p = np.exp(mean - mean.max())
+        p /= p.sum()
+        return net.languages[int(p.argmax())], float(p.max())
+
+    want = sorted(((i, *plain(t)) for i, t, *_ in docs), key=repr)
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in op10_langid(spark, folder).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-3)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    from dyadspark.llm import langid
+
+    monkeypatch.setattr(langid, "TRAINING_DOCS", 300)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels: seen.append(set(labels)))
+    train_on(spark.createDataFrame([(k, f"text {k} of some length", f"l{k % 250}") for k in range(2000)], "doc_id long, text string, lang string"))
+    assert len(seen[0]) > 150
+
+
 def test_the_sample_is_bounded(spark, monkeypatch):
     from dyadspark.llm import langid
 
