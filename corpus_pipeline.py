@@ -1,6 +1,10 @@
 """The corpus pipeline: documents to packed pieces, stage by stage.
 
-Each stage is written as Parquet and read again as the next one's documents.
+Each stage is written as Parquet and read again as the next one's documents. Null texts and texts
+without a letter end at the first stage. Rows that repeat an id are rows of their own: copies of a
+text go at the second stage, other texts under the same id stay. Texts are read whole at each
+stage, an empty table stays empty, and further columns pass through, whatever their names, up to
+packing, which leaves them out.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 ids, with their ids."""
     small_batches(spark)
-    return pack_documents(docs, with_ids=True)
+    return pack_documents(docs, with_ids=True, cache_words=50_000)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -25,7 +25,7 @@ CELLS_PER_ROW = 16
 #: An array is broadcast, so its size is bounded: 2**30 cells, 128 MB, for 67 million rows.
 MAX_CELLS_LOG2 = 30
 #: Cells travel by chunks of so many (in bits); a task hands over what it hit after so many.
-_CHUNK, _HELD = 16, 1 << 22
+_CHUNK, _HELD = 16, 1 << 19
 
 
 def text_sha256(text: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadspark.llm.common import give_back
 from dyadspark.llm.tokens import default_tokenizer, encoder
 
 #: Words that an encoder remembers here: fewer than shards do, as pieces are held as well.
@@ -130,19 +131,21 @@ class Packer:
             yield from self._window(1 << (self.held.bit_length() - 1), cut=True)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids, with end_id appended, lie in exactly one piece each; a null text is just
     end_id. Sequences hold capacity ids; the last ones of an input split hold powers of two. Rows
-    that repeat are packed as often as they come, and null ids are kept.
+    that repeat are packed as often as they come, and null ids are kept; an empty table gives no
+    rows; texts are encoded whole, however long; other columns are ignored. cache_words: words that
+    a worker remembers.
     """
     tokenizer = tokenizer or default_tokenizer()
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, CACHE_WORDS), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, cache_words), np.array([end_id], dtype="<u4").tobytes()
         packer, base = Packer(capacity), TaskContext.get().partitionId() << 32
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -160,6 +163,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
                 yield rows(found)
         if found := list(packer.close()):
             yield rows(found)
+        give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pieces, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import drop_held, join_groups, written
+from dyadspark.llm.common import drop_held, give_back, join_groups, written
 from dyadspark.llm.components import connected_components
 from dyadspark.llm.exact_dedup import maybe_repeated, repeated_cells
 from dyadspark.llm.simhash import Forest, bucket_links, deal, majority, shingle_hashes, spanning, whole_groups
@@ -32,7 +32,7 @@ DEVIATIONS = 5
 #: A bucket of more documents is parted by further seeds, as long as that makes it smaller.
 LEAF = 256
 #: A group of candidates with more documents, or more shingles in all, is cut up before it is compared.
-GROUP_DOCS, GROUP_SHINGLES = 20_000, 3_000_000
+GROUP_DOCS, GROUP_SHINGLES = 20_000, 1_500_000
 #: Buckets of more documents than a task should hold are cut into shards.
 BUCKET_LIMIT = 200_000
 
@@ -194,6 +194,8 @@ def _exact(similarity: float):
                     b.append(mine[root[tied]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            table = shingles = seeds = None
+        give_back()
 
     return rows
 
