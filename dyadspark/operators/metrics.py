@@ -7,6 +7,7 @@ dyad itself taken as off; rows of zero are left out.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,14 @@ class Metric:
         change = found.groupBy("k", "local_idx").agg(F.sum("v").alias("v")).where("v <> 0")
         return cells.join(change, "k").select("src", "dst", "local_idx", "v")
 
+    def chain_change(self, y: np.ndarray, i: int, j: int) -> dict[int, float]:
+        """v by local_idx, as in design(), of the dyad (i, j) in the graph with matrix y.
+
+        Chains call it for metrics whose dyads depend on each other, in the workers: it may read
+        plain attributes of the metric, and no DataFrame.
+        """
+        raise NotImplementedError(f"no chain for {self.title}: it does not say chain_change()")
+
     def bootstrap(self, halves: DataFrame, graph: Graph) -> DataFrame:
         """rep, local_idx, value scaled to the whole graph. halves: rep, node, half."""
         raise NotImplementedError(f"{self.title} has no bootstrap")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -81,61 +83,86 @@ def influence(model: Collection, kind: Proposal = Proposal.INFLUENCE_SUM) -> Dat
     return every.join(F.broadcast(whole)).select("dyad_idx", "src", "dst", (F.col("s") / F.col("whole")).alias("p"))
 
 
+@dataclass
+class ChainTerms:
+    """What features say to a flip, times their parameters.
+
+    fixed and mutual: by dyad, always and where the dyad of the other direction is there. triads: the
+    parameter of each triad that the dyad closes. own: metrics that tell a chain themselves, with
+    the parameters of their local features.
+    """
+
+    fixed: np.ndarray
+    mutual: np.ndarray
+    triads: float = 0.0
+    own: list[tuple[Metric, dict[int, float]]] = field(default_factory=list)
+
+
 class ChainState:
     """A graph as a chain holds it: its matrix, and what every feature says to a flip."""
 
-    def __init__(self, n: int, directed: bool, edges: list[tuple[int, int]], weights: dict[int, np.ndarray], kinds: list[tuple[str, float]]):
-        self.n, self.directed = n, directed
+    def __init__(self, n: int, directed: bool, edges: list[tuple[int, int]], terms: ChainTerms):
+        self.directed, self.terms = directed, terms
         self.y = np.zeros((n, n), dtype=np.int8)
         for i, j in edges:
             self.y[i, j] = 1
             if not directed:
                 self.y[j, i] = 1
-        self.fixed = weights.get(0, np.zeros((n, n)))
-        self.kinds = kinds
 
     def log_ratio(self, i: int, j: int) -> float:
         """theta' change of flipping (i, j)."""
-        up = self.fixed[i, j]
-        for kind, theta in self.kinds:
-            if kind == "mutual":
-                up += theta * self.y[j, i]
-            elif kind == "cycles":
-                up += theta * float(self.y[j].astype(np.int64) @ self.y[:, i])
-            elif kind == "triangles":
-                up += theta * float(self.y[i].astype(np.int64) @ self.y[j])
-        return -up if self.y[i, j] else up
+        terms, y = self.terms, self.y
+        up = terms.fixed[i, j] + terms.mutual[i, j] * y[j, i]
+        if terms.triads:
+            # paths back from j to i; without directions, the common neighbours
+            up += terms.triads * float(y[j].astype(np.int64) @ y[:, i])
+        if terms.own:
+            was = int(y[i, j])
+            self._put(i, j, 0)
+            up += sum(theta[k] * v for metric, theta in terms.own for k, v in metric.chain_change(y, i, j).items() if k in theta)
+            self._put(i, j, was)
+        return -up if y[i, j] else up
 
     def flip(self, i: int, j: int) -> None:
-        self.y[i, j] ^= 1
+        self._put(i, j, self.y[i, j] ^ 1)
+
+    def _put(self, i: int, j: int, value: int) -> None:
+        self.y[i, j] = value
         if not self.directed:
-            self.y[j, i] = self.y[i, j]
+            self.y[j, i] = value
 
 
-def _chain_parts(model: Collection, theta: list[float]) -> tuple[np.ndarray, list[tuple[str, float]]]:
-    """What does not depend on the graph, summed over features by dyad, and the features that do."""
+def chain_terms(model: Collection, theta: list[float]) -> ChainTerms:
+    """The model's features, summed by dyad where they do not depend on the graph."""
     n = model.graph.n
-    fixed = np.zeros((n, n))
-    kinds: dict[str, float] = {}
+    terms = ChainTerms(np.zeros((n, n)), np.zeros((n, n)))
+    own: dict[int, dict[int, float]] = {}
     plain = []
-    for f, (k, _, _) in enumerate(model.features()):
+    for f, (k, local, _) in enumerate(model.features()):
         metric = model.metrics[k]
-        if isinstance(metric, Triangles):
-            kinds["cycles" if metric.directed else "triangles"] = kinds.get("cycles" if metric.directed else "triangles", 0.0) + theta[f]
-        elif isinstance(metric, TotalReciprocity):
-            kinds["mutual"] = kinds.get("mutual", 0.0) + theta[f]
-        elif isinstance(metric, Reciprocity) or not metric.dyad_independent:
-            raise NotImplementedError(f"no chain for {metric.title}")
-        else:
+        if type(metric) is Triangles:
+            terms.triads += theta[f]
+        elif type(metric) is TotalReciprocity:
+            terms.mutual += theta[f]
+        elif type(metric) is Reciprocity:
+            i, j = index_to_pair(local, n, False)
+            terms.mutual[i, j] += theta[f]
+            terms.mutual[j, i] += theta[f]
+        elif metric.dyad_independent:
             plain.append(f)
+        elif type(metric).chain_change is Metric.chain_change:
+            raise NotImplementedError(f"no chain for {metric.title}: it does not say chain_change()")
+        else:
+            own.setdefault(k, {})[local] = theta[f]
+    terms.own = [(model.metrics[k], by_local) for k, by_local in own.items()]
     if plain:
         table = F.array(*[F.lit(float(t)) for t in theta])
         rows = model.design().where(F.col("f_idx").isin(plain)).groupBy("src", "dst").agg(F.sum(F.col("v") * F.element_at(table, F.col("f_idx") + 1)).alias("s")).collect()
         for r in rows:
-            fixed[r["src"], r["dst"]] = r["s"]
+            terms.fixed[r["src"], r["dst"]] = r["s"]
             if not model.graph.directed:
-                fixed[r["dst"], r["src"]] = r["s"]
-    return fixed, list(kinds.items())
+                terms.fixed[r["dst"], r["src"]] = r["s"]
+    return terms
 
 
 def metropolis_hastings(model: Collection, theta: list[float], count: int, seed: int, burn_in: int | None = None, thin: int | None = None, chains: int = 4, start: DataFrame | None = None, proposal: DataFrame | None = None, replace: bool = True) -> DataFrame:
@@ -151,7 +178,7 @@ def metropolis_hastings(model: Collection, theta: list[float], count: int, seed:
     burn_in = 100 * n * n if burn_in is None else burn_in
     thin = n * n if thin is None else thin
     spark = model.graph.nodes.sparkSession
-    fixed, kinds = _chain_parts(model, theta)
+    terms = chain_terms(model, theta)
     edges = [(r["src"], r["dst"]) for r in (Metric.observed(model.graph) if start is None else start.select("src", "dst")).collect()]
     total = n * n - n if directed else n * (n - 1) // 2
     weights = None
@@ -165,7 +192,7 @@ def metropolis_hastings(model: Collection, theta: list[float], count: int, seed:
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         c = int(key[0])
         rng = np.random.default_rng([seed, c])
-        state = ChainState(n, directed, edges, {0: fixed}, kinds)
+        state = ChainState(n, directed, edges, terms)
         pairs = [index_to_pair(k, n, directed) for k in range(total)] if weights is not None else []
         cumulative = np.cumsum(weights) / weights.sum() if weights is not None else None
         out, seen, step, t = [], set(), 0, 0

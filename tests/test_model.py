@@ -163,6 +163,34 @@ def test_chains_follow_the_whole_distribution(spark):
     assert got[0] == pytest.approx(want[0], abs=0.12) and got[1] == pytest.approx(want[1], abs=0.06)
 
 
+class Stars(M.Metric):
+    """Pairs of edges from one node, told to chains by the metric itself."""
+
+    title, directed, dyad_independent = "stars", True, False
+
+    def values(self, graph):
+        degree = graph.edges.groupBy("graph_id", "src").agg(F.count("*").alias("d"))
+        return degree.groupBy("graph_id").agg(F.sum(F.expr("d * (d - 1) / 2")).alias("value")).select("graph_id", F.lit(0).alias("local_idx"), "value")
+
+    def chain_change(self, y, i, j):
+        return {0: float(y[i].sum())}
+
+
+@pytest.mark.parametrize("metric, theta", [(M.Reciprocity, [-0.4, 0.9, -0.8, 0.3]), (Stars, [-0.6, 0.5])])
+def test_chains_of_vectors_and_own_metrics(spark, metric, theta):
+    m = model(graph(spark, "010/001/100"), M.Edges(), metric(), theta=theta)
+    want = [r["value"] for r in enumeration.expected(m.collection, theta).orderBy("f_idx").collect()]
+    drawn = m.simulate(4000, 5, "metropolis_hastings", burn_in=200, thin=8).where("src IS NOT NULL").select("graph_id", "src", "dst")
+    got = [r["v"] for r in m._sampled(drawn, 4000).groupBy("f_idx").agg(F.avg("value").alias("v")).orderBy("f_idx").collect()]
+    assert got == pytest.approx(want, abs=0.12) and got[1:] == pytest.approx(want[1:], abs=0.1)
+
+
+def test_chains_refuse_what_does_not_tell_them(spark):
+    silent = type("Silent", (Stars,), {"chain_change": M.Metric.chain_change})
+    with pytest.raises(NotImplementedError, match="chain_change"):
+        sampling.chain_terms(Collection([M.Edges(), silent()], graph(spark, "010/001/100")), [0.0, 0.0])
+
+
 def test_exact_samples(spark):
     m = model(monastery(spark), M.Edges(), M.TotalReciprocity(), theta=[-1.76, 2.32])
     p = {(r["src"], r["dst"]): r["p"] for r in fit.marginals(m.predict_pairs()).collect()}
