@@ -695,6 +695,14 @@ def mcmle_monastery(spark, d):
     return _monte_carlo(spark, S.monastery(spark))
 
 
+@query("mcmle_triads")
+def mcmle_triads(spark, d):
+    """The first three steps of a Monte-Carlo fit of edges and cyclic triads, which has no closed form."""
+    model = GraphModel(S.monastery(spark), [M.Edges(), M.Triangles(True)], fix_collinearity=False, seed=3)
+    model.fit("mcmle", steps=3, count=60, burn_in=1500, thin=80, reps=20, size=100)
+    return spark.createDataFrame(list(model.parameters().items()), "name string, theta double")
+
+
 @query("stream_activity", None, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
 def stream_activity(spark, d):
     return windowed_activity(spark.read.parquet(f"{d}/events.parquet"))
