@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.functions.dyads import dyads, grid, labelled, with_graphs
+from dyadspark.functions.dyads import grid, labelled, with_graphs
 from dyadspark.functions.rng import bernoulli, draw
 from dyadspark.operators.metrics import Metric, Reciprocity
 from dyadspark.spec import Graph, Scheme
@@ -107,8 +107,7 @@ class Collection:
     def design(self, cells: DataFrame | None = None, graph: Graph | None = None) -> DataFrame:
         """Sparse design: src, dst, f_idx, v."""
         graph = graph or self.graph
-        cells = dyads(graph) if cells is None else cells
-        return self._numbered([m.design(graph, cells) for m in self.metrics])
+        return self._numbered([m.full_design(graph) if cells is None else m.design(graph, cells) for m in self.metrics])
 
     def change_scores(self, cells: DataFrame | None = None, graph: Graph | None = None) -> DataFrame:
         """What flipping each dyad of the first graph does: src, dst, f_idx, change; zeros are left out."""

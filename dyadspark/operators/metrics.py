@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadspark.functions.dyads import dyad_index
+from dyadspark.functions.dyads import dyad_index, dyads
+from dyadspark.operators.paths import common_neighbours
 from dyadspark.spec import Graph
 
 
@@ -56,6 +57,10 @@ class Metric:
         change = found.groupBy("k", "local_idx").agg(F.sum("v").alias("v")).where("v <> 0")
         return cells.join(change, "k").select("src", "dst", "local_idx", "v")
 
+    def full_design(self, graph: Graph) -> DataFrame:
+        """design() over all dyads of the graph. Metrics that few dyads change give these without the grid."""
+        return self.design(graph, dyads(graph))
+
     def chain_change(self, y: np.ndarray, i: int, j: int) -> dict[int, float]:
         """v by local_idx, as in design(), of the dyad (i, j) in the graph with matrix y.
 
@@ -169,10 +174,15 @@ class Triangles(Metric):
             close = (F.col("c.src") == F.col("a.src")) & (F.col("c.dst") == F.col("b.dst"))
         return _one(paths.join(c, close & (F.col("c.graph_id") == F.col("a.graph_id"))).select("a.graph_id"), F.count("*"))
 
+    def full_design(self, graph):
+        if self.directed or graph.mask is not None:
+            return super().full_design(graph)
+        return common_neighbours(graph.edges.where("graph_id = 0")).select("src", "dst", F.lit(0).alias("local_idx"), "v")
+
     def design(self, graph, cells):
-        e = self.observed(graph)
         if not self.directed:
-            e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            return self.full_design(graph).join(cells.select("src", "dst"), ["src", "dst"]).select("src", "dst", "local_idx", "v")
+        e = self.observed(graph)
         # i -> j closes the paths j -> k -> i; in neither graph does i -> j itself lie on one
         paths = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).where("a.src <> b.dst")
         counted = paths.groupBy(F.col("b.dst").alias("src"), F.col("a.src").alias("dst")).agg(F.count("*").cast("double").alias("v"))

@@ -117,10 +117,16 @@ def follow_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def cosupply_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers that share more orders than pairs do on average; undirected."""
-    parts = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("int").alias("s")).distinct()
-    both = parts.alias("a").join(parts.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.s") < F.col("b.s")))
-    pairs = both.groupBy(F.col("a.s").alias("src"), F.col("b.s").alias("dst")).agg(F.count("*").alias("c"))
+    """Suppliers that share more orders than pairs do on average; undirected.
+
+    Lines are dealt out by order and listed, pairs by themselves: lines are few bytes in a file and
+    many rows, so nothing is broadcast, and pairs of few orders are not worth summing before they are dealt out.
+    """
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("int").alias("s")).where("l_orderkey IS NOT NULL AND s IS NOT NULL")
+    orders = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("s")).alias("all"))
+    first = orders.select("all", F.posexplode("all").alias("at", "src"))
+    both = first.select("src", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("dst"))
+    pairs = both.repartition("src", "dst").groupBy("src", "dst").agg(F.count("*").alias("c"))
     supplier = _read(spark, sf_dir, "supplier")
     nodes = supplier.select(F.col("s_suppkey").cast("int").alias("node"), F.col("s_nationkey").cast("string").alias("type"), F.col("s_acctbal").alias("attr"), F.lit(None).cast("array<double>").alias("pos"))
     n = (supplier.agg(F.max("s_suppkey")).first()[0] or -1) + 1
