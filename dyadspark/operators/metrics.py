@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadspark.functions.dyads import dyad_index, dyads
-from dyadspark.operators.paths import common_neighbours
+from dyadspark.operators.paths import common_neighbours, triangles
 from dyadspark.spec import Graph
 
 
@@ -163,15 +163,14 @@ class Triangles(Metric):
         self.title = "num_triangles_directed" if directed else "num_triangles"
 
     def values(self, graph):
-        """Each triangle is met once: the smallest node opens a cycle, nodes ascend otherwise."""
+        """Each triangle is met once: the smallest node opens a cycle, the largest closes the others' edge otherwise."""
+        if not self.directed:
+            return _one(triangles(graph.edges), F.sum("v"))
         e = graph.edges.select("graph_id", "src", "dst")
         a, b, c = e.alias("a"), e.alias("b"), e.alias("c")
         paths = a.join(b, (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.dst") == F.col("b.src")))
-        if self.directed:
-            paths = paths.where("a.src < a.dst AND a.src < b.dst")
-            close = (F.col("c.src") == F.col("b.dst")) & (F.col("c.dst") == F.col("a.src"))
-        else:
-            close = (F.col("c.src") == F.col("a.src")) & (F.col("c.dst") == F.col("b.dst"))
+        paths = paths.where("a.src < a.dst AND a.src < b.dst")
+        close = (F.col("c.src") == F.col("b.dst")) & (F.col("c.dst") == F.col("a.src"))
         return _one(paths.join(c, close & (F.col("c.graph_id") == F.col("a.graph_id"))).select("a.graph_id"), F.count("*"))
 
     def full_design(self, graph):

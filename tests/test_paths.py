@@ -74,3 +74,20 @@ def test_lines_of_suppliers_are_not_broadcast_and_dyads_not_listed(spark):
     graph = cosupply_graph(spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" not in physical(graph.edges)
     assert "Range (" not in physical(Collection([M.Triangles(False)], graph).change_scores())
+
+
+def test_triangles_across_blocks_and_graphs(spark):
+    places = [0, 1, 1022, 1023, 1024, 1025, 2047, 2048, 5000]
+    edges = [(g, places[i], places[j]) for g, i, j in drawn(len(places), 0.6, 8, 3)]
+    graph = graph_from_edges(spark, 5001, edges, directed=False, count=4)
+    on = set(edges)
+    want = [float(sum((g, a, b) in on and (g, b, c) in on and (g, a, c) in on for a, b, c in itertools.combinations(places, 3))) for g in range(4)]
+    assert want[0] > 0 and want[3] == 0
+    got = Collection([M.Triangles(False)], graph).sample_statistics().orderBy("graph_id").collect()
+    assert [r["value"] for r in got] == want
+
+
+def test_paths_to_triangles_are_no_rows(spark):
+    graph = graph_from_edges(spark, 4, [(0, 1), (1, 2), (0, 2)], directed=False)
+    plan = physical(M.Triangles(False).values(graph))
+    assert "MapInArrow" in plan and "Join" not in plan
