@@ -15,6 +15,15 @@ from dyadspark.operators.metrics import Metric, Reciprocity
 from dyadspark.spec import Graph, Scheme
 
 
+@dataclass(frozen=True)
+class Kinds:
+    """Dyads by the kinds of their source and target. nodes: node, a, b; rows: a, b, x; counts: a, b, targets (nodes of b)."""
+
+    nodes: DataFrame
+    rows: DataFrame
+    counts: DataFrame
+
+
 @dataclass
 class Collection:
     """Metrics in order. Features are numbered through all metrics, ignored ones left out."""
@@ -128,6 +137,53 @@ class Collection:
             rows = rows.withColumn("w", F.lit(None).cast("double"))
         return rows.select("src", "dst", "dyad_idx", F.coalesce("x", F.array().cast("array<struct<f:int,v:double>>")).alias("x"), "y", F.coalesce("w", F.lit(1.0)).alias("w"))
 
+    def kind_rows(self, ends: bool = False) -> DataFrame | Kinds | None:
+        """design_rows() of directed graphs for compress(), a row for each kind of dyads instead of each dyad.
+
+        x comes from one dyad of the kind, y is the mean of their labels, w their number. None if the metrics tell dyads
+        apart by more than their ends, or if kinds are hardly fewer. With ends the parts: see Kinds.
+        """
+        graph, told = self.graph, [m.ends() for m in self.metrics]
+        if not graph.directed or graph.mask is not None or graph.weights is not None or None in told:
+            return None
+        spark, n = graph.nodes.sparkSession, graph.n
+        by = [sorted({c for t in told for c in t[k]}) for k in (0, 1)]
+        if "node" in by[0] and "node" in by[1] or n < 2:
+            return None
+        nodes = spark.range(n).select(F.col("id").cast("int").alias("node"))
+        if {*by[0], *by[1]} - {"node"}:
+            nodes = nodes.join(graph.nodes.select("node", "type", "attr", "pos"), "node", "left")
+        sides, sizes = [], []
+        for k, (columns, name) in enumerate(zip(by, "ab", strict=True)):
+            if "node" in columns:
+                nodes, found, size = nodes.withColumn(name, F.col("node")), nodes.select(*[F.col("node").alias(f"{name}{s}") for s in ("", "_low", "_high")], F.lit(1).cast("long").alias(f"{name}_size")), n
+            elif not columns:
+                nodes, found, size = nodes.withColumn(name, F.lit(0)), spark.range(1).select(F.lit(0).alias(name), F.lit(0).alias(f"{name}_low"), F.lit(n - 1).alias(f"{name}_high"), F.lit(n).cast("long").alias(f"{name}_size")), 1
+            else:
+                whole = nodes.groupBy(*columns).agg(F.min("node").alias(f"{name}_low"), F.max("node").alias(f"{name}_high"), F.count("*").alias(f"{name}_size")).withColumn(name, F.col(f"{name}_low"))
+                keys = whole.select(*[F.col(c).alias(f"k_{c}") for c in columns], name)
+                nodes = nodes.join(keys, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in columns]).drop(*[f"k_{c}" for c in columns])
+                found, size = whole.drop(*columns), whole.count()
+            sides.append(found)
+            sizes.append(size)
+        if 2 * sizes[0] * sizes[1] > n * (n - 1):
+            return None
+        nodes = nodes.select("node", "a", "b")
+        small = sizes.index(min(sizes))
+        pairs = sides[1 - small].crossJoin(F.broadcast(sides[small]))
+        # nodes that are of both kinds have no dyad with themselves
+        loops = nodes.groupBy("a", "b").agg(F.count("*").alias("loops"))
+        pairs = pairs.join(loops, ["a", "b"], "left").withColumn("w", F.col("a_size") * F.col("b_size") - F.coalesce("loops", F.lit(0))).where("w > 0")
+        straight, other = F.col("a_low") != F.col("b_low"), F.col("a_low") != F.col("b_high")
+        pairs = pairs.select("a", "b", "w", F.col("b_size").alias("targets"), F.when(straight | other, F.col("a_low")).otherwise(F.col("a_high")).alias("src"), F.when(straight, F.col("b_low")).when(other, F.col("b_high")).otherwise(F.col("b_low")).alias("dst"))
+        x = self.design(pairs.select("src", "dst")).groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct(F.col("f_idx").alias("f"), "v"))).alias("x"))
+        rows = pairs.join(x, ["src", "dst"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<f:int,v:double>>")))
+        if ends:
+            return Kinds(nodes, rows.select("a", "b", "x"), pairs.select("a", "b", "targets"))
+        seen = graph.edges.join(nodes.select(F.col("node").alias("src"), "a"), "src").join(nodes.select(F.col("node").alias("dst"), "b"), "dst")
+        on = seen.groupBy("a", "b").agg((F.count("*") / graph.graphs).alias("on"))
+        return rows.join(on, ["a", "b"], "left").select("x", (F.coalesce("on", F.lit(0.0)) / F.col("w")).alias("y"), F.col("w").cast("double").alias("w"))
+
     def pair_design(self) -> DataFrame:
         """The four states of each pair i < j, as seen from the empty graph: src, dst, state, f_idx, v.
 

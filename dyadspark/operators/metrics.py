@@ -24,6 +24,18 @@ class Metric:
     dyad_independent = True
     supports_mask = True
     supports_bootstrap = False
+    #: The columns of nodes, of the source and of the target, that alone decide a dyad's design row; None if others do.
+    told_by: tuple[tuple[str, ...], tuple[str, ...]] | None = None
+
+    @classmethod
+    def ends(cls) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
+        """told_by, unless a subclass has since changed what decides."""
+        for c in cls.__mro__:
+            if "told_by" in vars(c):
+                return c.told_by
+            if {"design", "full_design", "weight", "placed", "_ends", "sides"} & vars(c).keys():
+                return None
+        return None
 
     def __init__(self, name: str | None = None, ignore: tuple[int, ...] = ()):
         self.prefix, self.ignored = name, set(ignore)
@@ -95,6 +107,7 @@ class Edges(Metric):
     """How many edges there are."""
 
     supports_bootstrap = True
+    told_by = ((), ())
 
     def __init__(self, directed: bool = True, **options):
         super().__init__(**options)
@@ -117,14 +130,14 @@ class Edges(Metric):
 class _NodeVector(Metric):
     is_vector = True
     supports_bootstrap = True
-    ends: tuple[str, ...] = ()
+    sides: tuple[str, ...] = ()
 
     def width(self, graph):
         return graph.n
 
     def _ends(self, rows: DataFrame) -> DataFrame:
         keep = [c for c in rows.columns if c not in {"src", "dst"}]
-        return rows.select(*keep, "src", "dst", F.explode(F.array(*self.ends)).alias("local_idx"))
+        return rows.select(*keep, "src", "dst", F.explode(F.array(*self.sides)).alias("local_idx"))
 
     def values(self, graph):
         return self._ends(graph.masked_edges()).groupBy("graph_id", "local_idx").agg(F.count("*").cast("double").alias("value"))
@@ -140,15 +153,18 @@ class _NodeVector(Metric):
 
 
 class InDegree(_NodeVector):
-    title, ends, directed = "indegree", ("dst",), True
+    title, sides, directed = "indegree", ("dst",), True
+    told_by = ((), ("node",))
 
 
 class OutDegree(_NodeVector):
-    title, ends, directed = "outdegree", ("src",), True
+    title, sides, directed = "outdegree", ("src",), True
+    told_by = (("node",), ())
 
 
 class UndirectedDegree(_NodeVector):
-    title, ends, directed = "undirected_degree", ("src", "dst"), False
+    title, sides, directed = "undirected_degree", ("src", "dst"), False
+    told_by = (("node",), ("node",))
 
 
 class Triangles(Metric):
@@ -240,6 +256,7 @@ class TypePairs(Metric):
     """Edges for each pair of node types: ordered pairs, or unordered ones in undirected graphs."""
 
     is_vector = True
+    told_by = (("type",), ("type",))
 
     def __init__(self, directed: bool = True, **options):
         super().__init__(**options)
@@ -298,6 +315,7 @@ class Weighted(Metric):
 
 class SumDistances(Weighted):
     title = "sum_distances_connected_neurons"
+    told_by = (("pos",), ("pos",))
 
     def __init__(self, directed: bool = True, **options):
         super().__init__(**options)
@@ -310,6 +328,7 @@ class SumDistances(Weighted):
 
 class AttributeSum(Weighted):
     title = "node_attribute_sum"
+    told_by = (("attr",), ("attr",))
 
     def __init__(self, directed: bool = True, **options):
         super().__init__(**options)
@@ -321,6 +340,7 @@ class AttributeSum(Weighted):
 
 class AttributeSumOut(Weighted):
     title, directed = "node_attribute_sum_out", True
+    told_by = (("attr",), ())
 
     def weight(self):
         return F.col("a_attr")
@@ -328,6 +348,7 @@ class AttributeSumOut(Weighted):
 
 class AttributeSumIn(Weighted):
     title, directed = "node_attribute_in", True
+    told_by = ((), ("attr",))
 
     def weight(self):
         return F.col("b_attr")

@@ -7,7 +7,7 @@ from dyadspark.functions.dyads import dyad_states
 from dyadspark.model import GraphModel
 from dyadspark.operators import metrics as M
 from dyadspark.operators.collection import Collection
-from dyadspark.operators.fit import fit_dyads, fit_mple, pair_rows
+from dyadspark.operators.fit import THETA_CAP, fit_dyads, fit_mple, pair_rows
 from dyadspark.sources.graphs import graph_from_matrices, monastery, read_graph, write_graph
 
 
@@ -38,3 +38,14 @@ def test_a_sparse_sample_gives_back_its_parameter(spark):
     sample = model.simulated(3000)
     assert sample.graphs == 3000
     assert fit_mple(Collection([M.Edges()], sample)).theta[0] == pytest.approx(-4.0, abs=0.2)
+
+
+def test_features_that_no_row_ties_are_fitted_apart(spark):
+    """As by one matrix: those with all or no edges stop at the bound, features of zero do not move, tied ones share a matrix."""
+    graph = graph_from_matrices(spark, [[[0, 1, 0, 0], [0, 0, 0, 0], [1, 1, 0, 1], [1, 0, 1, 0]]])
+    alone = fit_mple(Collection([M.OutDegree()], graph))
+    assert not alone.result.success and np.allclose(alone.theta, [-math.log(2), -THETA_CAP, THETA_CAP, math.log(2)], atol=1e-6)
+    tied, summed = (fit_mple(Collection([M.OutDegree(ignore=(1, 2)), M.AttributeSumOut(ignore=(0,))], graph), limit=limit) for limit in (100, 0))
+    assert np.allclose(tied.theta, summed.theta, atol=1e-8)
+    both = [fit_mple(Collection([M.Edges(), M.OutDegree(ignore=(0, 1, 2))], graph), limit=limit).theta for limit in (100, 0)]
+    assert np.allclose(*both, atol=1e-8)
