@@ -199,6 +199,10 @@ class GraphModel:
         """src, dst, dyad_idx, p, y, w. Models whose dyads depend on each other look at graph, by default the model's."""
         return fit.predictions(self.collection, self.theta, graph)
 
+    def expected_degrees(self) -> DataFrame:
+        """node, expected: sums of predict() over the dyads of each node, in directed graphs those that it starts."""
+        return fit.expected_degrees(self.collection, self.theta)
+
     def predict_pairs(self) -> DataFrame:
         if self.collection.scheme() != Scheme.MPLE_RECIPROCITY:
             raise NotImplementedError("only reciprocity models have pair probabilities")

@@ -361,7 +361,7 @@ def mple_degree_newton(spark, d):
     """At the optimum of the out-degree model, expected degrees are the observed ones."""
     model = GraphModel(S.follow_graph(spark, d), [M.OutDegree()], fix_collinearity=False)
     model.fit()
-    return model.predict().groupBy(F.col("src").alias("node")).agg(F.round(F.sum("p"), 4).alias("expected"))
+    return model.expected_degrees().select("node", F.round("expected", 4).alias("expected"))
 
 
 @query("mple_triad_theta")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from dyadspark.model import GraphModel
 from dyadspark.operators import metrics as M
 from dyadspark.operators.collection import Collection
 from dyadspark.operators.fit import compress, fit_mple
@@ -23,6 +24,10 @@ def test_kinds_sum_up_to_the_dyads(spark, metrics):
     kinds = model.kind_rows()
     if kinds is not None:
         assert whole(kinds) == whole(model.design_rows())
+    theta = np.linspace(-1, 1, len(model.features())).tolist()
+    m = GraphModel(model.graph, metrics, theta=theta)
+    sums = {r["src"]: r["s"] for r in m.predict().groupBy("src").agg({"p": "sum"}).withColumnRenamed("sum(p)", "s").collect()}
+    assert {r["node"]: r["expected"] for r in m.expected_degrees().collect()} == pytest.approx(sums)
 
 
 def test_a_metric_of_ones_own_is_not_told_by_its_ends():
